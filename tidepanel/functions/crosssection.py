@@ -47,26 +47,33 @@ def qcut_group(rank, n_rows, groups: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(raw, F.lit(1))).cast("bigint")
 
 
+def splitters(df: DataFrame, by: list[str], columns: list[str], pieces: int = 64) -> DataFrame:
+    """Per group, at most pieces - 1 values of each column that cut it into about equal parts. One small checkpointed
+    row per group: a lost executor cannot recompute them differently."""
+    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = df.groupBy(*by).agg(*[
+        F.coalesce(F.array_sort(F.array_distinct(F.percentile_approx(F.col(c), probs, F.lit(10000)))),
+                   F.array().cast("array<double>")).alias(f"_cuts_{c}") for c in columns])
+    return cut_lineage(cuts)
+
+
 def wide_rank(df: DataFrame, by: list[str], x: str, tie: list[str], coarse: Column | None = None, pieces: int = 64,
-              prefix: str = "") -> DataFrame:
+              prefix: str = "", cuts: DataFrame | None = None) -> DataFrame:
     """Adds {prefix}place (1..n by x then `tie`), {prefix}rank (average ties) and {prefix}size to the rows with a known x.
 
     No task ever holds a whole group: a group is cut at `pieces` splitter values. A value heavy enough to be a splitter
     gets a piece of its own, cut further by `coarse`, an expression that never decreases along the tie order.
-    The splitters are checkpointed, so a lost executor cannot recompute them differently.
+    The input is written to the checkpoint folder once, since it is read three times; pass `cuts` from `splitters` when
+    it already is.
     """
     by = list(by)
     p = lambda s: f"{prefix}{s}"
     df = df.where(F.col(x).isNotNull())
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(x), probs, F.lit(10000))))
-                               .alias("_cuts"))
-    cuts = cut_lineage(cuts)
-    if by:
-        tagged = df.join(cuts, by)
-    else:
-        tagged = df.withColumn("_cuts", F.lit([float(v) for v in (cuts.first()["_cuts"] or [])])
-                               if (cuts.first()["_cuts"]) else F.array().cast("array<double>"))
+    if cuts is None:
+        df = cut_lineage(df)
+        cuts = splitters(df, by, [x], pieces)
+    cuts = cuts.select(*by, F.col(f"_cuts_{x}").alias("_cuts"))
+    tagged = df.join(cuts, by) if by else df.withColumn("_cuts", cuts.scalar())
     heavy = F.array_contains("_cuts", F.col(x))
     tagged = (tagged.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(x))) * 2 + heavy.cast("int"))
               .withColumn("_sub", F.when(heavy, (F.lit("") if coarse is None else coarse).cast("string"))
