@@ -1,7 +1,5 @@
 """Books and backtests."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions.frames import ahead, change
@@ -127,6 +125,7 @@ cte("ls", """SELECT variant, date, b.t, sum(w * coalesce(fwd, 0)) AS gross, sum(
 
 
 def books(t, k=5):
+    t.keep_panel()
     s = t.scores().withColumnRenamed("model", "variant")
     return P.daily_weights(s, ["variant", "t"], k).where("weight != 0"), G.book_dates(s)
 
@@ -145,6 +144,7 @@ def g1(t):
 @query("g1_long_short_banded")
 def g1b(t):
     """Banded books through the same backtest."""
+    t.keep_panel()
     s = known(t).withColumnRenamed("model", "variant")
     w = banded(t).join(s.select("variant", "t", "symbol", "fwd"), ["variant", "t", "symbol"])
     return G.long_short(w, G.book_dates(s)).select("variant", "date", *rnd("gross", "turnover", "net"))
@@ -190,10 +190,13 @@ def drift_ctes(tag: str, targets: str, days: str, bps: float) -> None:
 
 drift_ctes("dr", "dr_targets", "dr_days", 5)
 drift_ctes("bm", "bm_targets", "bm_days", 5)
-DRIFT_COLS = ("gross", "turnover", "cost", "net", "equity")
+DRIFT_COLS = ("gross", "turnover", "cost", "net")
+LOG_EQ = "round(ln(nullif(equity, 0)), 6) AS log_equity"
+log_eq = lambda: F.round(F.ln(F.nullif("equity", F.lit(0.0))), 6).alias("log_equity")
 
 
 def drift_inputs(t):
+    t.keep_panel()
     s = t.scores().withColumnRenamed("model", "variant")
     days = s.select("variant", "t", "date").distinct()
     first = days.groupBy("variant").agg(F.min("t").alias("_t0"))
@@ -208,9 +211,9 @@ def drift_daily(t):
     return G.drifting(targets, rets, days, 5.0)
 
 
-@query("g3_drifting_backtest", sql(f"SELECT variant, t, date, {R(*DRIFT_COLS)}, rebalanced FROM dr", "dr"))
+@query("g3_drifting_backtest", sql(f"SELECT variant, t, date, {R(*DRIFT_COLS)}, {LOG_EQ}, rebalanced FROM dr", "dr"))
 def g3(t):
-    return drift_daily(t).select("variant", "t", "date", *rnd(*DRIFT_COLS), "rebalanced")
+    return drift_daily(t).select("variant", "t", "date", *rnd(*DRIFT_COLS), log_eq(), "rebalanced")
 
 
 @query("g4_blow_up", sql("SELECT variant, max(blown_up) AS blown_up, min(CASE WHEN net = -1 THEN date END) AS blown_on, count(net) AS days_alive FROM dr GROUP BY variant", "dr"))
@@ -221,6 +224,7 @@ def g4(t):
 
 
 def benchmark_daily(t):
+    t.keep_panel()
     days = t.scores(("rev5",)).select(F.lit("benchmark").alias("variant"), "t", "date").distinct()
     reb = days.where(F.pmod(F.col("t") - 5, F.lit(4)) == 0).select("variant", "t")
     symbols = t.sectors().select("symbol")
@@ -228,9 +232,9 @@ def benchmark_daily(t):
     return G.drifting(targets, t.panel().select("symbol", "t", change("adj_close", 1).alias("ret")), days, 5.0)
 
 
-@query("g5_benchmark", sql(f"SELECT variant, t, date, {R(*DRIFT_COLS)} FROM bm", "bm"))
+@query("g5_benchmark", sql(f"SELECT variant, t, date, {R(*DRIFT_COLS)}, {LOG_EQ} FROM bm", "bm"))
 def g5(t):
-    return benchmark_daily(t).select("variant", "t", "date", *rnd(*DRIFT_COLS))
+    return benchmark_daily(t).select("variant", "t", "date", *rnd(*DRIFT_COLS), log_eq())
 
 
 # ------------------------------------------------------------------ decile buy and hold
@@ -256,6 +260,7 @@ cte("dp_daily", """SELECT v.variant, c.date, v.t, g AS gross, g - CASE WHEN v.t
 
 def decile_run(t):
     """Quintile books held four weeks."""
+    t.keep_panel()
     s = t.scores().withColumnRenamed("model", "variant").select("variant", "t", "symbol", "score")
     return G.decile_backtest(s, t.panel(), t.calendar(), H, T0, ND, 5.0)
 
@@ -319,6 +324,7 @@ def variants(t):
 
 def grid_daily(t):
     """24 variants in one job: names are ranked once per model, then meet the short variant list."""
+    t.keep_panel()
     placed = P.two_way_places(t.scores(), ["model", "t"])
     v = F.broadcast(variants(t))
     k = F.col("k")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, shift
+from ..session import cut_lineage
 from . import bars as B
 
 
@@ -17,6 +16,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, str(sf_dir).rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self._kept: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -50,20 +50,27 @@ class Tables:
 
     def calendar(self, freq: str = "week") -> DataFrame:
         """Ordinals of the trading dates, from a one-column scan."""
+        if freq == "week" and self._kept is not None:
+            return self._kept.select("date", "t").distinct()
         day = F.to_date("l_shipdate")
         date = F.date_sub(day, F.weekday(day)) if freq == "week" else day
         return B.calendar(self.table("lineitem").select(date.alias("date")))
 
+    def keep_panel(self) -> Tables:
+        """Write the weekly panel once to the checkpoint folder. For queries that read it several times: the trades
+        are then scanned once, and the panel is far smaller than they are."""
+        if self._kept is None:
+            self._kept = cut_lineage(self.panel())
+        return self
+
     def panel(self, freq: str = "week", start=None, end=None) -> DataFrame:
+        if freq == "week" and start is None and end is None and self._kept is not None:
+            return self._kept
         return B.number_days(self.bars(freq, start, end), self.calendar(freq))
 
     def dense(self, freq: str = "week") -> DataFrame:
         return B.densify(self.panel(freq), self.calendar(freq))
 
-    @cached_property
-    def _last_t(self):
-        return self.calendar().select(F.max("t")).scalar()
-
     # ------------------------------------------------------------------ a universe that grows with the data
 
     def supplier_panel(self) -> DataFrame:
