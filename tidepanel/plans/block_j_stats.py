@@ -145,8 +145,8 @@ def ppf_sql(p: str) -> str:
             f"ELSE {_poly(A, r)} * {q} / {_poly(B + one, r)} END")
 
 
-MOM = """SELECT variant, count(*) AS n, avg(net) / stddev_samp(net) AS sr,
- avg(pow(net - mu, 3)) / pow(avg(pow(net - mu, 2)), 1.5) AS skew, avg(pow(net - mu, 4)) / pow(avg(pow(net - mu, 2)), 2) AS kurt
+MOM = """SELECT variant, count(*) AS n, avg(net) / nullif(stddev_samp(net), 0) AS sr,
+ avg(pow(net - mu, 3)) / nullif(pow(avg(pow(net - mu, 2)), 1.5), 0) AS skew, avg(pow(net - mu, 4)) / nullif(pow(avg(pow(net - mu, 2)), 2), 0) AS kurt
  FROM (SELECT *, avg(net) OVER (PARTITION BY variant) AS mu FROM {}) GROUP BY variant"""
 cte("ls_mom", MOM.format("ls"), "ls")
 cte("gr_mom", MOM.format("gr"), "gr")
@@ -163,7 +163,7 @@ DSR = ("sr", "sharpe_annual", "hurdle", "hurdle_annual", "psr_zero", "dsr")
 
 
 @query("j12_deflated_sharpe", sql(f"""WITH a AS (SELECT arg_max(variant, sr) AS variant, max(sr) AS sr, arg_max(n, sr) AS n, arg_max(skew, sr) AS skew, arg_max(kurt, sr) AS kurt,
- count(*) AS trials, var_samp(sr) AS v FROM gr_mom),
+ count(*) AS trials, var_samp(sr) AS v FROM gr_mom WHERE sr IS NOT NULL),
 h AS (SELECT *, sqrt(v) * ((1 - {EULER_GAMMA}) * {ppf_sql('1 - 1.0 / trials')} + {EULER_GAMMA} * {ppf_sql(f'1 - 1.0 / (trials * {E_CONST})')}) AS hurdle FROM a)
 SELECT variant, trials, round(sr, 6) AS sr, round(sr * sqrt(52.0), 6) AS sharpe_annual, round(hurdle, 6) AS hurdle, round(hurdle * sqrt(52.0), 6) AS hurdle_annual,
  round({cdf_sql(Z.format('0'))}, 6) AS psr_zero, round({cdf_sql(Z.format('hurdle'))}, 6) AS dsr FROM h""", "gr_mom"))
