@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crosssection import place, qcut_group, size
 from ..functions.frames import ratio
+from ..session import cut_lineage
 
 
 def _moves(book: DataFrame, dates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,17 +71,18 @@ def drifting(targets: DataFrame, returns: DataFrame, days: DataFrame, cost_bps:
     date) every day of the run. The first day with nothing left, or a cost of everything, ends the run: net -100%, then
     NULL.
     """
+    targets = cut_lineage(targets.where(F.col("weight") != 0))      # a few names per rebalance, read five times
     reb = targets.select("variant", "t").distinct()
     end = days.groupBy("variant").agg(F.max("t").alias("_end"))
     seg = (reb.join(end, "variant")
            .select("variant", F.col("t").alias("r"),
                    F.coalesce(F.lead("t").over(Window.partitionBy("variant").orderBy("t")), F.col("_end")).alias("to")))
-    held = (targets.withColumnRenamed("t", "r").where(F.col("weight") != 0).join(seg, ["variant", "r"])
+    held = (targets.withColumnRenamed("t", "r").join(seg, ["variant", "r"])
             .select("variant", "r", "to", "symbol", "weight", F.explode(F.sequence("r", "to")).alias("t"))
             .join(returns.select("symbol", "t", "ret"), ["symbol", "t"], "left"))
     step = F.when(F.col("t") == F.col("r"), 1.0).otherwise(1.0 + F.coalesce("ret", F.lit(0.0)))
     path = Window.partitionBy("variant", "r", "symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("growth", F.product(step).over(path))
+    held = cut_lineage(held.withColumn("growth", F.product(step).over(path)))
     value = held.groupBy("variant", "r", "t").agg((1 + F.sum(F.col("weight") * (F.col("growth") - 1))).alias("value"))
     along = Window.partitionBy("variant", "r").orderBy("t")
     day = (value.withColumn("gross", ratio("value", F.lag("value").over(along)) - 1)
@@ -142,7 +144,7 @@ def decile_periods(scores: DataFrame, panel: DataFrame, cal: DataFrame, h: int,
 def decile_backtest(scores: DataFrame, panel: DataFrame, cal: DataFrame, h: int, start_t: int = 0, n_deciles: int = 10,
                     cost_bps: float = 5.0) -> dict[str, DataFrame]:
     """periods, deciles and daily series of the top-minus-bottom decile book held h days."""
-    picks, held = decile_periods(scores, panel, cal, h, start_t, n_deciles)
+    picks, held = (cut_lineage(d) for d in decile_periods(scores, panel, cal, h, start_t, n_deciles))
     top, low = F.col("decile") == n_deciles, F.col("decile") == 1
     side = held.where(top | low)
     value = side.groupBy("variant", "p", "t").agg(F.avg(F.when(top, F.col("growth"))).alias("l"),

@@ -115,16 +115,16 @@ def residual_path(fit: DataFrame, cfg: FactorConfig) -> DataFrame:
 
 
 def s_scores(ou: DataFrame, cfg: FactorConfig, by=("t",)) -> DataFrame:
-    """eligible (kappa above the floor) and s, centred on the mean level m of the eligible names of the date.
+    """eligible (kappa above the floor) and s, centred on the mean level m of the eligible names of the date; dates with
+    fewer than min_names fits are dropped.
 
-    The date mean is a partial aggregate joined back, so no date is gathered in one task."""
-    ou = ou.withColumn("eligible", F.coalesce(F.col("kappa") > cfg.min_kappa, F.lit(False)))
-    if cfg.centre_means:
-        mean = ou.groupBy(*by).agg(F.avg(F.when(F.col("eligible"), F.col("m"))).alias("_mm"))
-        ou = ou.join(mean, list(by)).withColumn("_c", F.coalesce("_mm", F.lit(0.0))).drop("_mm")
-    else:
-        ou = ou.withColumn("_c", F.lit(0.0))
-    return ou.withColumn("s", (F.col("x_last") - (F.col("m") - F.col("_c"))) / F.col("sigma_eq")).drop("_c")
+    The date mean and count are one partial aggregate joined back, so no date is gathered in one task. The narrow fit
+    rows are written once, since both sides of that join read them."""
+    ou = cut_lineage(ou.withColumn("eligible", F.coalesce(F.col("kappa") > cfg.min_kappa, F.lit(False))))
+    mean = ou.groupBy(*by).agg(F.avg(F.when(F.col("eligible"), F.col("m"))).alias("_mm"), F.count("*").alias("_names"))
+    ou = ou.join(mean.where(F.col("_names") >= cfg.min_names), list(by))
+    centre = F.coalesce("_mm", F.lit(0.0)) if cfg.centre_means else F.lit(0.0)
+    return ou.withColumn("s", (F.col("x_last") - (F.col("m") - centre)) / F.col("sigma_eq")).drop("_mm", "_names")
 
 
 def enough_names(fit: DataFrame, cfg: FactorConfig) -> DataFrame:
@@ -137,7 +137,7 @@ def enough_names(fit: DataFrame, cfg: FactorConfig) -> DataFrame:
 def fund_fit(stock: DataFrame, funds: DataFrame, sectors: DataFrame, cfg: FactorConfig) -> DataFrame:
     """All days' estimates at once: stock and funds carry (date, symbol, t, ret)."""
     j = hedge_funds(stock, funds, sectors, cfg.window)
-    fit = residual_path(enough_names(one_factor(j, cfg.window), cfg), cfg)
+    fit = residual_path(one_factor(j, cfg.window).where(F.col("beta").isNotNull()), cfg)
     return s_scores(ou_from_paths(fit, cfg), cfg)
 
 

@@ -7,6 +7,7 @@ from ..operators import backtest as G
 from ..operators import portfolio as P
 from ..operators import stats as J
 from ..operators.features import market_volatility
+from ..session import cut_lineage
 from .block_e_evaluate import R, known, qcut_sql, rnd
 from .registry import query
 from .sqltext import cte, sql
@@ -127,7 +128,7 @@ cte("ls", """SELECT variant, date, b.t, sum(w * coalesce(fwd, 0)) AS gross, sum(
 def books(t, k=5):
     t.keep_panel()
     s = t.scores().withColumnRenamed("model", "variant")
-    return P.daily_weights(s, ["variant", "t"], k).where("weight != 0"), G.book_dates(s)
+    return cut_lineage(P.daily_weights(s, ["variant", "t"], k).where("weight != 0")), G.book_dates(s)
 
 
 def ls_daily(t):
@@ -330,7 +331,7 @@ def grid_daily(t):
     k = F.col("k")
     hit = (F.col("n") >= 2 * k) & ((F.col("lo") <= k) | (F.col("hi") <= k))
     w = F.when(F.col("lo") <= k, -1.0 / k).otherwise(1.0 / k)
-    book = placed.join(v, "model").where(hit).select("variant", "t", "symbol", "fwd", w.alias("weight"))
+    book = cut_lineage(placed.join(v, "model").where(hit).select("variant", "t", "symbol", "fwd", w.alias("weight")))
     dates = G.book_dates(t.scores(), ["model"]).join(v, "model").select("variant", "t", "date", "cost_bps")
     return G.long_short(book, dates, F.col("cost_bps"))
 

@@ -136,7 +136,7 @@ def state_inputs(t):
     last = t.calendar().select(F.max("t")).scalar()
     fit = fit.where(F.col("t") < last)
     days = fit.select("t").distinct()
-    return stock, funds, fit, days, H.trade_states(fit, days, CFG)
+    return stock, funds, fit, days, H.cut_lineage(H.trade_states(fit, days, CFG))
 
 
 @query("f7_trade_states", rsql("SELECT s.symbol, s.t, CAST(state AS INTEGER) AS state FROM states s JOIN hsig h ON h.symbol = s.symbol AND h.t = s.t WHERE h.fitted"))
@@ -285,7 +285,7 @@ def eigen_of(t):
     """As-of days every fourth week."""
     stock, _ = inputs(t)
     w = EI.return_windows(stock, CFG, 4)
-    days = H.cut_lineage(EI.eigen_days(w, CFG))
+    days = H.cut_lineage(EI.eigen_days(w, CFG, salts=1))       # 25 brands: one part per day is enough
     return stock, w, days, EI.eigen_fit(w, days, CFG)
 
 
@@ -335,7 +335,7 @@ def eigen_states(t):
     last = t.calendar().select(F.max("t")).scalar()
     fit = fit.where(F.col("t") < last)
     days = fit.select("t").distinct()
-    return stock, fit, days, H.trade_states(fit, days, CFG)
+    return stock, fit, days, H.cut_lineage(H.trade_states(fit, days, CFG))
 
 
 @query("f9_factor_hedged_book")
