@@ -114,10 +114,11 @@ def drifting(targets: DataFrame, returns: DataFrame, days: DataFrame, cost_bps:
 
 
 def equal_weight_targets(symbols: DataFrame, rebalances: DataFrame, n: Column) -> DataFrame:
-    """1/N of every symbol at each rebalance date (variant, t)."""
-    names = symbols.agg(F.collect_set("symbol").alias("names"))
-    return (rebalances.join(F.broadcast(names)).select("variant", "t", F.explode("names").alias("symbol"))
-            .withColumn("weight", 1.0 / n))
+    """1/N of every symbol at each rebalance date (variant, t). The dates, bounded by the calendar, travel to the
+    symbols, never the other way round."""
+    dates = rebalances.select(F.collect_list(F.struct("variant", "t"))).scalar()
+    return (symbols.select("symbol", F.explode(dates).alias("d"))
+            .select("d.variant", "d.t", "symbol", (1.0 / n).alias("weight")))
 
 
 def decile_periods(scores: DataFrame, panel: DataFrame, cal: DataFrame, h: int, start_t: int = 0, n_deciles: int = 10):

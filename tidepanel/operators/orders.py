@@ -107,7 +107,7 @@ def targets_and_positions(weights: DataFrame, accounts: DataFrame, positions: Da
 # --------------------------------------------------------------------- stateful plan
 
 def stateful_plan(fit: DataFrame, accounts: DataFrame, positions: DataFrame, prices: DataFrame, shortable: DataFrame,
-                  sectors: DataFrame, cfg: FactorConfig) -> DataFrame:
+                  sectors: DataFrame, cfg: FactorConfig, slices: int = 32) -> DataFrame:
     """One row per (account, stock) with the state before and after today and the target shares.
 
     fit holds today's estimates per symbol (s, eligible, beta, hedge). Held stocks without a price are blind: left
@@ -117,9 +117,11 @@ def stateful_plan(fit: DataFrame, accounts: DataFrame, positions: DataFrame, pri
     px = F.when(clean("price") > 0, F.col("price"))
     universe = sectors.select("symbol", "fund").join(prices, "symbol", "left").join(shortable, "symbol", "left").join(
         fit.select("symbol", "s", "eligible", "beta", "hedge", "kappa", "sigma_eq"), "symbol", "left")
-    # every account looks at every stock of the universe: one row each is the size of the answer
-    names = universe.agg(F.collect_list(F.struct(*universe.columns)).alias("u"))
-    rows = accounts.join(F.broadcast(names)).select("account_id", "equity", F.inline("u"))
+    # Every account looks at every stock, so one row each is the size of the answer. Both sides meet on a slice number:
+    # Spark broadcasts a small universe after its own size check, and a large one is shuffled in `slices` even parts.
+    universe = universe.withColumn("_slice", F.pmod(F.xxhash64("symbol"), F.lit(slices)).cast("int"))
+    rows = (accounts.select("account_id", "equity", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+            .join(universe, "_slice").drop("_slice"))
     rows = rows.join(positions.select("account_id", "symbol", "qty"), ["account_id", "symbol"], "left")
     rows = (rows.withColumn("px", px).withColumn("qty", F.coalesce("qty", F.lit(0.0)))
             .withColumn("blind", (F.col("qty") != 0) & F.col("px").isNull())
