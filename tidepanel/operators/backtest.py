@@ -113,6 +113,17 @@ def drifting(targets: DataFrame, returns: DataFrame, days: DataFrame, cost_bps:
     return d.withColumn("equity", grow.over(v.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).drop("_blown")
 
 
+def run_backtest(scores: DataFrame, returns: DataFrame, config) -> DataFrame:
+    """Drifting backtest of a forecast panel (variant, t, date, symbol, score) under a StrategyConfig: a book every
+    rebalance_days from the panel's first day, held where too few names have a forecast."""
+    from .portfolio import weights_from_forecasts
+    days = scores.select("variant", "t", "date").distinct()
+    order = days.withColumn("_i", F.row_number().over(Window.partitionBy("variant").orderBy("t")) - 1)
+    due = order.where(F.pmod(F.col("_i"), F.lit(config.rebalance_days)) == 0).select("variant", "t")
+    books = weights_from_forecasts(scores.join(due, ["variant", "t"], "left_semi"), ["variant", "t"], config.n_long, config.n_short)
+    return drifting(books.select("variant", "t", "symbol", "weight"), returns, days, config.cost_bps)
+
+
 def equal_weight_targets(symbols: DataFrame, rebalances: DataFrame, n: Column) -> DataFrame:
     """1/N of every symbol at each rebalance date (variant, t). The dates, bounded by the calendar, travel to the
     symbols, never the other way round."""

@@ -341,6 +341,18 @@ def g12(t):
     return grid_daily(t).select("variant", "date", *rnd("gross", "turnover", "net"))
 
 
+@query("g12_banded_grid")
+def g12b(t):
+    """Banded variants of every model in one job: each is walked alone over its few candidate rows per date."""
+    t.keep_panel()
+    rows = [(f"{m}_{k}_{x}", m, k, x) for m in ("rev5", "mom", "str", "wstr") for k in (3, 5) for x in (5, 10)]
+    v = F.broadcast(t.spark.createDataFrame(rows, "variant string, model string, k int, exit_k int"))
+    s = cut_lineage(known(t).join(v, "model"))
+    w = P.banded_weights(P.band_candidates(s, ["variant", "t"], "k", "exit_k"))
+    book = w.join(s.select("variant", "t", "symbol", "fwd"), ["variant", "t", "symbol"])
+    return G.long_short(book, G.book_dates(s)).select("variant", "date", *rnd("gross", "turnover", "net"))
+
+
 @query("g13_cost_per_year", sql("SELECT variant, round(avg(turnover) * 5 / 1e4 * 52 / 1, 6) AS cost_per_year FROM ls GROUP BY variant", "ls"))
 def g13(t):
     m = ls_daily(t).groupBy("variant").agg(F.avg("turnover").alias("turnover")).withColumn("every", F.lit(1))

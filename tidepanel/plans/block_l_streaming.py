@@ -34,16 +34,15 @@ def l1b(t):
     return S.finished(S.event_bars(batch(t), late=None), batch(t), 3600)
 
 
-@query("l2_late_rows")
+@query("l2_late_rows", f"""SELECT symbol, min(date) AS first_bar, count(*) AS bars, CAST(sum(events) AS BIGINT) AS events FROM ({L1}) WHERE date <> (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY symbol""")
 def l2(t):
     """Rows of the first day sent after the rest: dropped behind the watermark, so the bars equal those without them."""
     folder = shared_folder(t.spark, "late")
     first = t.events().select(F.min(F.to_date("ts"))).scalar()
     e = t.events()
-    e.where(F.to_date("ts") != first).coalesce(1).write.parquet(f"{folder}/in/part=1")
-    e.where(F.to_date("ts") == first).coalesce(1).write.parquet(f"{folder}/in/part=2")
-    s = S.read_events(t.spark, f"{folder}/in/part=*", files_per_trigger=1)
-    out = S.run_to_table(S.event_bars(s), "bars", folder)
+    for part, rows in ((1, F.to_date("ts") != first), (2, F.to_date("ts") == first)):      # two runs of one stream
+        e.where(rows).write.parquet(f"{folder}/in/part={part}")
+        out = S.run_to_table(S.event_bars(S.read_events(t.spark, f"{folder}/in/part=*")), "bars", folder)
     return out.groupBy("symbol").agg(F.min("date").alias("first_bar"), F.count("*").alias("bars"), F.sum("events").alias("events"))
 
 
