@@ -104,19 +104,21 @@ def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], mod
     rows = periods.orderBy("period").collect()          # one short row per study period
     d = F.col("date")
 
-    def one(p, name):
+    def fit(p):
+        """All models of one period on the same training rows."""
         train = panel.where(d.between(F.lit(p["train_start"]), F.lit(p["train_end"])) & F.col("y").isNotNull())
-        trade = panel.where(d.between(F.lit(p["trade_start"]), F.lit(p["trade_end"])))
-        fitted = classifier(name, names, train.count(), preset, seed, size=size).fit(train)
-        return predict(fitted, trade, name, ("date", "symbol"))
-
-    jobs = [(p, m) for p in rows for m in models]
-    parts = dict(zip([(p["period"], m) for p, m in jobs], together([lambda p=p, m=m: one(p, m) for p, m in jobs], threads)))
-    out = None
-    for p in rows:
-        wide = reduce(lambda a, b: a.join(b, ["date", "symbol"]), [parts[(p["period"], m)] for m in models])
-        wide = wide.withColumn("period", F.lit(p["period"]))
-        out = wide if out is None else out.unionByName(wide)
+        n = train.count()
+        return [classifier(m, names, n, preset, seed, size=size).fit(train) for m in models]
+
+    def trade(p, fitted):
+        """The period's models applied one after another to its trading rows: no joins between their forecasts."""
+        out = panel.where(d.between(F.lit(p["trade_start"]), F.lit(p["trade_end"])))
+        for name, m in zip(models, fitted):
+            out = m.transform(out).select(*[c for c in out.columns], prob_up().alias(name))
+        return out.select("date", "symbol", *models, F.lit(p["period"]).alias("period"))
+
+    fits = together([lambda p=p: fit(p) for p in rows], threads)
+    out = reduce(DataFrame.unionByName, [trade(p, f) for p, f in zip(rows, fits)])
     if all(m in models for m in ENSEMBLE):
         out = out.withColumn("ensemble", (F.col("forest") + F.col("boosting") + F.col("mlp")) / 3)
     return out

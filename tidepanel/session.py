@@ -18,6 +18,7 @@ def build_session(app: str = "tidepanel", master: str | None = None, shuffle_par
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)
