@@ -1,4 +1,4 @@
-"""Registered queries against DuckDB at the smallest scale. PANEL_ALL=1 runs every query; the default is one or two of
+"""Registered queries against DuckDB at a small scale. PANEL_ALL=1 runs every query; the default is one or two of
 each block. `tools/check_oracle.py` does the same from the command line at any scale."""
 
 import os
@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 from tools.check_oracle import compare, duck  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUICK = ["a13_resample_4", "a14_bars_daily", "a15_splice_repair", "a29_secret_scan", "b1_daily_return", "b8_rank_normalise", "b8_rank_normalise_wide",
          "c2_median_label_wide", "d8_purged_folds", "e9_score_table", "e13_decile_returns_wide", "f2_wide_picks", "f6_borrow_weights",
          "g3_drifting_backtest", "g6_decile_periods", "g12_strategy_grid", "h5_s_scores", "f8_fund_hedged_book", "g8_trade_log", "i3_rasterise",

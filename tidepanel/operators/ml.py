@@ -57,11 +57,11 @@ def fit_forest(train: DataFrame, names: Sequence[str], label: str = "target", tr
     return Pipeline(stages=[assembler(names), rf]).fit(train)
 
 
-def classifier(name: str, names: Sequence[str], n_rows: int, preset: str = "workshop", seed: int = 0, label: str = "y",
+def classifier(name: str, names: Sequence[str], n_rows: int, preset: str = "quick", seed: int = 0, label: str = "y",
                size: float = 1.0) -> Pipeline:
     """A fresh classifier by name. preset "paper" uses the larger sizes; `size` scales tree and iteration counts."""
-    if preset not in ("workshop", "paper"):
-        raise ValueError("preset must be 'workshop' or 'paper'")
+    if preset not in ("quick", "paper"):
+        raise ValueError("preset must be 'quick' or 'paper'")
     paper = preset == "paper"
     many = lambda k: max(1, int(round(k * size)))
     k = len(names)
@@ -97,7 +97,7 @@ def together(jobs: Sequence[Callable], threads: int = 4) -> list:
 
 
 def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], models: Sequence[str] = ("logit", "forest", "boosting"),
-                 preset: str = "workshop", seed: int = 0, size: float = 1.0, threads: int = 4) -> DataFrame:
+                 preset: str = "quick", seed: int = 0, size: float = 1.0, threads: int = 4) -> DataFrame:
     """Out-of-sample P(beats the median) for every traded day, one model per period and name; `ensemble` is the mean of
     the three machine-learning models when all ran. The panel is written once and every period reads its own dates."""
     panel = cut_lineage(panel)
