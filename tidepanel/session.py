@@ -1,8 +1,9 @@
-"""Session settings and lineage cutting."""
+"""Session settings, the shared folder, and tables written once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,33 @@ def build_session(app: str = "tidepanel", master: str | None = None, shuffle_par
     return b.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else the checkpoint folder already set.
+
+    A temporary folder is made only on a local master; on a cluster executors would each write to their own disk.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary folder only where none is set (tests)."""
+    """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes `df` as Parquet to the shared folder, now, and returns the table read back: several branches then read
+    it with column pruning, and a lost executor rereads files instead of recomputing."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one only where none is named)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-store-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the folder that driver and executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
