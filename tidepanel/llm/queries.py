@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
+from .mixing import plan_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,26 @@ def op1(spark, sf_dir):
     found = find_benchmark_words(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+@query("op2_mix_sources", f"""
+WITH d AS (SELECT doc_id, source, len({sql_words('text')}) AS size,
+            (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+           FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+ w AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
+ r AS (SELECT *, sum(source_size) OVER () - 3.0 * coalesce(sum(source_size) OVER k, 0) AS free, sum(w) OVER () - coalesce(sum(w) OVER k, 0) AS wfree
+       FROM w WINDOW k AS (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, least(3.0 * source_size, max(free / wfree) OVER () * w) AS target FROM r),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS e FROM t),
+ p AS (SELECT source, source_size, target, floor(e) AS whole, e - floor(e) AS p, target - floor(e) * source_size AS rest FROM e),
+ q AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p) * (size / (size + 200.0))) END AS q
+       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+ c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE q IS NOT NULL),
+ cut AS (SELECT source, max(q) AS cut FROM c WHERE upto - size / 2.0 <= rest GROUP BY 1),
+ n AS (SELECT q.doc_id, q.size, q.source_size, q.target, CAST(whole + CASE WHEN q <= cut THEN 1 ELSE 0 END AS BIGINT) AS copies
+       FROM q LEFT JOIN cut ON q.source IS NOT DISTINCT FROM cut.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken FROM n""")
+def op2(spark, sf_dir):
+    plan = plan_mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), carry=["doc_id"])
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
