@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
+from .exact import exact_groups
 from .mixing import plan_mix
+from .sharding import kd_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,16 @@ SELECT doc_id, size, source_size, target, copies * size AS taken FROM n""")
 def op2(spark, sf_dir):
     plan = plan_mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), carry=["doc_id"])
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_exact_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""")
+def op6(spark, sf_dir):
+    return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+
+
+@query("op10_kd_shards")
+def op10(spark, sf_dir):
+    return kd_shards(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), shards=8, carry=["doc_id"])
