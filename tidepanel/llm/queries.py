@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
 from .exact import exact_groups
+from .language import identify
 from .mixing import plan_mix
 from .sharding import kd_shards
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +85,13 @@ def op6(spark, sf_dir):
 @query("op10_kd_shards")
 def op10(spark, sf_dir):
     return kd_shards(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), shards=8, carry=["doc_id"])
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_simhash_dedup")
+def op5(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
