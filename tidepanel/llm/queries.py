@@ -11,6 +11,7 @@ from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
 from .exact import exact_groups
 from .language import identify
+from .maxent import fit_and_score
 from .mixing import plan_mix
 from .sharding import kd_shards
 from .simhash import near_duplicates
@@ -95,3 +96,9 @@ def op3(spark, sf_dir):
 @query("op5_simhash_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op8_maxent_lm")
+def op8(spark, sf_dir):
+    return fit_and_score(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
