@@ -15,6 +15,7 @@ from .maxent import fit_and_score
 from .mixing import plan_mix
 from .sharding import kd_shards
 from .simhash import near_duplicates
+from .urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,41 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     return fit_and_score(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"]).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _ratio_sql() -> str:
+    """The two models as common table expressions over (gram, allow, block)."""
+    out, p = [], {v: "(1.0 / 256)" for v in ("allow", "block")}
+    source = "g"
+    for k in range(4):
+        pair, ctx = f"substr(gram, {4 - k}, {k + 1})", f"substr(gram, {4 - k}, {k})" if k else "''"
+        out.append(f"pr{k} AS (SELECT {pair} AS pair, {ctx} AS ctx, sum(allow) AS allow, sum(block) AS block FROM g GROUP BY 1, 2)")
+        out.append(f"cx{k} AS (SELECT ctx, sum(allow) AS na, sum(block) AS nb, count(*) FILTER (allow > 0) AS ta, count(*) FILTER (block > 0) AS tb FROM pr{k} GROUP BY 1)")
+        f = {"allow": f"CASE WHEN na = 0 THEN {p['allow']} ELSE (pr{k}.allow + ta * {p['allow']}) / (na + ta) END",
+             "block": f"CASE WHEN nb = 0 THEN {p['block']} ELSE (pr{k}.block + tb * {p['block']}) / (nb + tb) END"}
+        out.append(f"p{k} AS (SELECT gram, CAST({f['allow']} AS DOUBLE) AS p_allow, CAST({f['block']} AS DOUBLE) AS p_block FROM {source} "
+                   f"JOIN pr{k} ON pair = {pair} JOIN cx{k} USING (ctx))")
+        source, p = f"p{k}", {"allow": "p_allow", "block": "p_block"}
+    return ",\n ".join(out)
+
+
+@query("op4_url_filter", f"""
+WITH u AS (SELECT page_id, url, row_number() OVER () AS rid, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, rid, url, {sql_lower("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} AS host,
+        regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h),
+ v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+        repeat(chr(2), 3) || {sql_lower("coalesce(url, '')")} || chr(3) AS s FROM r),
+ x AS (SELECT rid, said, substr(s, CAST(i AS BIGINT), 4) AS gram FROM (SELECT rid, said, s, unnest(range(1, length(s) - 2)) AS i FROM v)),
+ g AS (SELECT gram, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM x GROUP BY 1),
+ {_ratio_sql()},
+ sc AS (SELECT rid, avg(ln(p_allow) - ln(p_block)) AS score FROM x JOIN p3 USING (gram) GROUP BY 1),
+ m AS (SELECT avg(score) FILTER (said = 'allow') AS ma, avg(score) FILTER (said = 'block') AS mb, stddev_pop(score) FILTER (said = 'allow') AS da,
+        stddev_pop(score) FILTER (said = 'block') AS db FROM v JOIN sc USING (rid)),
+ t AS (SELECT coalesce(CASE WHEN da + db > 0 THEN (ma * db + mb * da) / (da + db) ELSE (ma + mb) / 2 END, 0) AS level FROM m)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= level THEN 'allow' ELSE 'block' END) AS verdict FROM v JOIN sc USING (rid), t""")
+def op4(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
