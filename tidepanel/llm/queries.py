@@ -13,6 +13,7 @@ from .exact import exact_groups
 from .language import identify
 from .maxent import fit_and_score
 from .mixing import plan_mix
+from .pii import KINDS, count_kind, find_personal_data, listed
 from .sharding import kd_shards
 from .simhash import near_duplicates
 from .urls import judge_urls
@@ -141,3 +142,10 @@ WITH u AS (SELECT page_id, url, row_number() OVER () AS rid, CASE WHEN instr(url
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= level THEN 'allow' ELSE 'block' END) AS verdict FROM v JOIN sc USING (rid), t""")
 def op4(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_pii_spans")
+def op7(spark, sf_dir):
+    found = find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+    return found.select("doc_id", *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
