@@ -11,6 +11,7 @@ from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
 from .exact import exact_groups
 from .language import identify
+from .licences import licences_sql, scan_licences
 from .maxent import fit_and_score
 from .mixing import plan_mix
 from .pii import KINDS, count_kind, find_personal_data, listed
@@ -149,3 +150,9 @@ def op7(spark, sf_dir):
     found = find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
     return found.select("doc_id", *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op9_licence_scan", licences_sql())
+def op9(spark, sf_dir):
+    found = scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licences", "unresolved")])
