@@ -44,7 +44,7 @@ SENTENCES = {
     "gpl3-line": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "spdx license identifier gpl 3.0 only", "spdx license identifier gpl 3.0 or later"],
     "lgpl3-line": ["licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3.0 only", "spdx license identifier lgpl 3.0 or later"],
     "agpl3-line": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0 only", "spdx license identifier agpl 3.0 or later"],
-    "mpl2-terms": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
+    "mpl2-terms": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
     "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0"],
     "cc-by-line": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "cc-by-sa-line": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
@@ -71,14 +71,16 @@ RULES = [
 #: Every known sentence has one of these; other sentences are not looked up.
 HINTS = ("licen", "permission", "warrant", "redistribut", "liab", "public domain", "mpl", "rights reserved")
 _BLANK = r"[\x20\x09-\x0D]+"
+#: A dot after these does not end a sentence.
+SHORT = r"\b([Ii]nc|INC|[Ll]td|LTD|[Cc]orp|CORP|[Vv])\." + _BLANK
 #: Parts of a sentence that name a holder are made alike.
 HOLDERS = (("name of .{1,80}? nor the names", "name of x nor the names"), ("provided by .{1,80}? as is", "provided by x as is"))
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences: cut at line ends and after . ! ? ; before a blank; lower case, words parted by one blank,
-    only ASCII letters, digits and inner dots kept."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;])" + _BLANK, "$1\n"), r"[\n\r]+", -1)
+    only ASCII letters, digits and inner dots kept. Common abbreviations do not end one."""
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, SHORT, "$1 "), r"([.!?;])" + _BLANK, "$1\n"), r"[\n\r]+", -1)
 
     def normal(s):
         s = F.regexp_replace(F.regexp_replace(lower_ascii(s), "[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
@@ -130,7 +132,7 @@ def licences_sql() -> str:
     return rf"""
 WITH k(s, id) AS (VALUES {values}),
  x AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
-       FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[\n\r]+') AS parts FROM documents)),
+       FROM (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(text, '{SHORT}', '\1 ', 'g'), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[\n\r]+') AS parts FROM documents)),
  n AS (SELECT doc_id, i, id FROM (SELECT doc_id, i, {normal} AS s FROM x) JOIN k USING (s)),
  q AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY i) AS seq FROM n GROUP BY 1),
  r AS (SELECT doc_id, sentence_ids, {seq} AS seq FROM q)

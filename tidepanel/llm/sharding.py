@@ -108,7 +108,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), (octets + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         _number(F.col("lang"), 32).alias("_d0"), F.floor(F.log2(octets + 1) * 1024).alias("_d1"),
-        F.floor(F.coalesce((octets - F.length(text)) / octets, F.lit(0.0)) * 4096).cast("long").alias("_d2"),
+        F.floor(F.coalesce((octets - F.length(text)) / F.nullif(octets, F.lit(0)), F.lit(0.0)) * 4096).cast("long").alias("_d2"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 62))).alias("_idn"), F.monotonically_increasing_id().alias("_h"))
     rows = materialise(rows.withColumn("_crc", F.col("text_crc32")), "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
