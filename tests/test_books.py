@@ -138,12 +138,10 @@ def test_probabilistic_sharpe_at_its_own_level(spark):
     assert abs(m.select(J.probabilistic(F.col("sr"))).first()[0] - 0.5) < 1e-6
 
 
-def test_run_backtest_from_config(spark):
-    from tidepanel.config import StrategyConfig
+def test_run_backtest(spark):
     rng = np.random.default_rng(4)
     R, X = rng.normal(0, 0.03, (17, 6)), rng.normal(size=(17, 6))
     X[5, :4] = np.nan                                            # too few forecasts on a rebalance day: hold
-    cfg = StrategyConfig(n_long=2, n_short=2, rebalance_days=5, cost_bps=20.0).validate()
     T = {}
     for i in range(0, 17, 5):
         if np.isfinite(X[i]).sum() >= 4:
@@ -153,9 +151,8 @@ def test_run_backtest_from_config(spark):
     _, rets, days = frames(spark, R, {0: np.zeros(6)})
     rows = [("v", i, f"S{j}", float(X[i, j])) for i in range(17) for j in range(6)]
     s = spark.createDataFrame(rows, "variant string, t int, symbol string, score double").join(days.select("t", "date"), "t")
-    got = G.run_backtest(s, rets, cfg).orderBy("t").toPandas()
+    got = G.run_backtest(s, rets, 2, 2, 5, 20.0).orderBy("t").toPandas()
     want = loop(R, T, 20.0)
     assert sorted(T) == [0, 10, 15] and np.allclose(got["net"], want[:, 0]) and np.allclose(got["turnover"], want[:, 1])
-    assert StrategyConfig.from_dict(cfg.to_dict()) == cfg
     with pytest.raises(ValueError):
-        StrategyConfig(n_long=0, n_short=0).validate()
+        G.run_backtest(s, rets, 0, 0, 5, 20.0)

@@ -19,24 +19,25 @@ def returns(spark):
     return spark.createDataFrame(rows, "symbol string, t int, ret double").cache(), R
 
 
-def test_eigen_fit_equals_dense(returns):
+@pytest.mark.parametrize("rows", [2000, 5])
+def test_eigen_fit_has_its_properties(returns, rows):
     df, R = returns
-    w = EI.return_windows(df, CFG, 1).where("t in (50, 70)")
-    days = EI.eigen_days(w, CFG, salts=3)
-    fit = EI.eigen_fit(w, days, CFG).toPandas()
-    lam = {r["t"]: r["eigenvalues"] for r in days.collect()}
+    w = EI.return_windows(df, CFG, 1).where("t in (50, 70)").cache()
+    days = EI.eigen_days(w, CFG, rows)
+    fit = EI.eigen_fit(w, days, CFG, rows).toPandas()
+    lam = {r["t"]: np.array(r["eigenvalues"]) for r in days.collect()}
     for t, cols in ((50, list(range(15))), (70, [j for j in range(15) if j != 4])):
         X = R[t - 39:t + 1][:, cols]
-        sd = X.std(axis=0, ddof=1)
-        Z = (X - X.mean(axis=0)) / sd
-        vals, vecs = np.linalg.eigh(Z.T @ Z / 39)
-        vals, vecs = vals[::-1], vecs[:, ::-1]
-        m = int(np.searchsorted(np.cumsum(vals) / vals.sum(), 0.6) + 1)
-        vecs = vecs * np.sign(vecs.sum(axis=0) + 1e-12)
-        Q = vecs[:, :m] / sd[:, None]
-        assert np.allclose(lam[t], vals, atol=1e-8) and abs(sum(lam[t]) - len(cols)) < 1e-8
         g = fit[fit["t"] == t].set_index("symbol").loc[[f"S{j:02d}" for j in cols]]
-        assert np.allclose(np.vstack(g["q"]), Q, atol=1e-7)
+        Q = np.vstack(g["q"])
+        m = Q.shape[1]
+        # a correlation matrix has trace n; the factors' own variances are its largest eigenvalues, and they do not covary
+        assert abs(lam[t].sum() - len(cols)) < 1e-8 and (np.diff(lam[t]) <= 1e-9).all()
+        assert np.allclose(np.cov(X @ Q, rowvar=False), np.diag(lam[t][:m]), atol=1e-7)
+        assert np.allclose((Q * X.std(axis=0, ddof=1)[:, None] ** 2).T @ Q, np.eye(m), atol=1e-7)
+        assert ((Q * X.std(axis=0, ddof=1)[:, None]).sum(axis=0) >= -1e-9).all()
+        shares = lam[t].cumsum() / len(cols)
+        assert shares[m - 1] >= 0.6 and (m == 1 or shares[m - 2] < 0.6)
         Y = X[-20:]
         F_ = Y @ Q
         B = np.linalg.lstsq(np.column_stack([np.ones(20), F_]), Y, rcond=None)[0]

@@ -108,6 +108,19 @@ def safe_corr(a, b) -> Column:
     return F.when(~flat & ~F.isnan(c), c)
 
 
+def rank_corr(a, b) -> Column:
+    """Correlation of two average-rank columns over the same rows of a group; NULL where either side is one tie.
+
+    Average ranks of n values are halves that add up to n (n + 1) / 2, so with doubled ranks every sum is a whole number
+    and a correlation of nothing is exactly 0, whatever the order of the rows."""
+    whole = lambda x: F.rint(2 * col(x)).cast("decimal(19,0)")
+    n = F.count(F.lit(1)).cast("decimal(12,0)")
+    mean = (n * (n + 1) * (n + 1)).cast("decimal(38,0)")
+    dot = lambda x, y: (F.sum((whole(x) * whole(y)).cast("decimal(38,0)")) - mean).cast("double")
+    xx, yy = dot(a, a), dot(b, b)
+    return F.when((xx > 0) & (yy > 0), dot(a, b) / (F.sqrt(xx) * F.sqrt(yy)))
+
+
 def wide_percentiles(df: DataFrame, by: list[str], x: str, probs: list[float], tie: list[str], names: list[str],
                      coarse: Column | None = None) -> DataFrame:
     """Exact interpolated percentiles per group, read off the places of `wide_rank`."""

@@ -57,7 +57,7 @@ def book_dates(scored: DataFrame, keys: Sequence[str] = ("variant",), extra: Seq
 def schedule(scored: DataFrame, every: int, need: int, start_t: int | None = None) -> DataFrame:
     """Rebalance dates: every n-th date from the first scored one, where at least `need` names have a score."""
     if int(every) < 1:
-        raise ValueError("rebalance_days must be at least 1")
+        raise ValueError(f"a schedule needs a step of one day or more, not {every!r}")
     d = scored.groupBy("date", "t").agg(F.count("score").alias("scored"))
     first = d.select(F.min("t")).scalar() if start_t is None else F.lit(start_t)
     return d.where((F.pmod(F.col("t") - first, F.lit(every)) == 0) & (F.col("scored") >= need))
@@ -113,15 +113,15 @@ def drifting(targets: DataFrame, returns: DataFrame, days: DataFrame, cost_bps:
     return d.withColumn("equity", grow.over(v.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))).drop("_blown")
 
 
-def run_backtest(scores: DataFrame, returns: DataFrame, config) -> DataFrame:
-    """Drifting backtest of a forecast panel (variant, t, date, symbol, score) under a StrategyConfig: a book every
-    rebalance_days from the panel's first day, held where too few names have a forecast."""
+def run_backtest(scores: DataFrame, returns: DataFrame, n_long: int, n_short: int, every: int, cost_bps: float) -> DataFrame:
+    """Drifting backtest of a forecast panel (variant, t, date, symbol, score): a book on every `every`-th day from the
+    panel's first, held where too few names have a forecast."""
     from .portfolio import weights_from_forecasts
     days = scores.select("variant", "t", "date").distinct()
     order = days.withColumn("_i", F.row_number().over(Window.partitionBy("variant").orderBy("t")) - 1)
-    due = order.where(F.pmod(F.col("_i"), F.lit(config.rebalance_days)) == 0).select("variant", "t")
-    books = weights_from_forecasts(scores.join(due, ["variant", "t"], "left_semi"), ["variant", "t"], config.n_long, config.n_short)
-    return drifting(books.select("variant", "t", "symbol", "weight"), returns, days, config.cost_bps)
+    due = order.where(F.pmod(F.col("_i"), F.lit(every)) == 0).select("variant", "t")
+    books = weights_from_forecasts(scores.join(due, ["variant", "t"], "left_semi"), ["variant", "t"], n_long, n_short)
+    return drifting(books.select("variant", "t", "symbol", "weight"), returns, days, cost_bps)
 
 
 def equal_weight_targets(symbols: DataFrame, rebalances: DataFrame, n: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Eigenportfolios, multi-factor residual fits and the factor hedge, for any number of stocks.
 
 With W days per window, the stock-by-stock correlation matrix has at most W non-zero eigenvalues, and they are those of
-the W x W matrix of day-by-day products. So stocks are summed into W x W blocks (in salted parts, then combined), one
+the W x W matrix of day-by-day products. So stocks are summed into W x W blocks (in parts, then combined), one
 small decomposition per as-of day follows, and every stock's loadings and fit come from its own W returns. No pair of
 stocks is ever formed and no task sees a whole universe.
 """
@@ -55,69 +55,82 @@ def _decompose(cfg: FactorConfig):
             return pd.DataFrame(columns=["t", "n_stocks", "n_factors", "eigenvalues", "mix", "design", "solver"])
         add = lambda c: np.vstack(pdf[c].to_numpy()).sum(axis=0)
         gram, cross, total = add("gram").reshape(W, W), add("cross").reshape(w, W), add("total")
-        vals, vecs = np.linalg.eigh(gram / (W - 1))
-        vals, vecs = vals[::-1], vecs[:, ::-1]
-        if cfg.n_factors is not None:
-            m = int(cfg.n_factors)
-        else:
-            m = int(np.searchsorted(np.cumsum(vals) / n, cfg.var_explained) + 1)
-        mix = vecs[:, :m] / np.sqrt((W - 1) * vals[:m])
-        mix = mix * np.sign((total @ mix)[None, :] + 1e-12)
+        lam, axes = np.linalg.eigh(gram / (W - 1))
+        by_size = np.argsort(-lam, kind="stable")
+        lam, axes = lam[by_size], axes[:, by_size]
+        # as many factors as asked for, or until their share of the trace (one per stock) reaches the wanted one
+        m = int(cfg.n_factors) if cfg.n_factors is not None else 1 + int((lam.cumsum() < cfg.var_explained * n).sum())
+        mix = axes[:, :m] / np.sqrt((W - 1) * lam[:m])
+        mix[:, total @ mix < 0] *= -1.0                     # the loadings of a factor add up to no less than zero
         design = np.column_stack([np.ones(w), cross @ mix])
         keep = min(n, W)
         return pd.DataFrame({"t": [pdf["t"].iloc[0]], "n_stocks": [n], "n_factors": [m],
-                             "eigenvalues": [np.maximum(vals[:keep], 0.0).tolist()], "mix": [mix.ravel().tolist()],
+                             "eigenvalues": [np.maximum(lam[:keep], 0.0).tolist()], "mix": [mix.ravel().tolist()],
                              "design": [design.ravel().tolist()], "solver": [np.linalg.pinv(design).ravel().tolist()]})
     return combine
 
 
-def eigen_days(windows: DataFrame, cfg: FactorConfig, salts: int = 16) -> DataFrame:
+def _salted(windows: DataFrame, rows: int) -> DataFrame:
+    """Windows with a part number, so many parts a day that none holds much more than `rows` stocks."""
+    most = windows.groupBy("t").count().agg(F.max("count")).first()[0] or 1
+    return windows.withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(-(-most // rows))))
+
+
+def eigen_days(windows: DataFrame, cfg: FactorConfig, rows: int = 2000) -> DataFrame:
     """One row per as-of day: eigenvalues (largest first, zero ones left out), the mixing of days into factors, the
-    factor returns of the regression window as a design matrix, and its pseudo-inverse."""
-    salted = windows.withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(salts)))
-    parts = salted.groupBy("t", "_salt").applyInPandas(
+    factor returns of the regression window as a design matrix, and its pseudo-inverse. `windows` is read twice, so it
+    should be a written table."""
+    parts = _salted(windows, rows).groupBy("t", "_salt").applyInPandas(
         _blocks(cfg), "t int, n long, total array<double>, gram array<double>, cross array<double>")
     return parts.groupBy("t").applyInPandas(_decompose(cfg), EIGEN_SCHEMA)
 
 
-def _fit_batches(cfg: FactorConfig):
+def _ar1(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, intercept and error variance of each row's regression on its own last value, from five sums."""
+    x, y = path[:, :-1], path[:, 1:]
+    n, sx, sy = x.shape[1], x.sum(axis=1), y.sum(axis=1)
+    dot = lambda u, v: np.einsum("ij,ij->i", u, v)
+    cxx, cxy, cyy = dot(x, x) - sx * sx / n, dot(x, y) - sx * sy / n, dot(y, y) - sy * sy / n
+    slope = cxy / cxx
+    return slope, (sy - slope * sx) / n, (cyy - slope * cxy) / (n - 1)
+
+
+def _fit_part(cfg: FactorConfig):
     W, w, year = cfg.corr_window, cfg.window, cfg.per_year
 
-    def fit(batches):
-        for pdf in batches:
-            for t, g in pdf.groupby("t"):
-                k = int(g["n_factors"].iloc[0])
-                mix = np.asarray(g["mix"].iloc[0]).reshape(W, k)
-                design = np.asarray(g["design"].iloc[0]).reshape(w, k + 1)
-                solver = np.asarray(g["solver"].iloc[0]).reshape(k + 1, w)
-                r = np.vstack(g["r"].to_numpy())
-                z, sd = _standardise(r)
-                q = (z @ mix) / sd
-                y = r[:, -w:]
-                coef = y @ solver.T
-                resid = y - coef @ design.T
-                tot = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
-                path = resid.cumsum(axis=1)
-                a0, a1 = path[:, :-1], path[:, 1:]
-                m0, m1 = a0.mean(axis=1, keepdims=True), a1.mean(axis=1, keepdims=True)
-                b = ((a0 - m0) * (a1 - m1)).sum(axis=1) / ((a0 - m0) ** 2).sum(axis=1)
-                a = m1[:, 0] - b * m0[:, 0]
-                var = (a1 - a[:, None] - b[:, None] * a0).var(axis=1, ddof=1)
-                ok = (b > 0) & (b < 1) & (var > 0)
-                sb = np.where(ok, b, 0.5)
-                blank = lambda v: pd.array(np.where(ok, v, np.nan), dtype="Float64")
-                with np.errstate(all="ignore"):
-                    r2 = 1 - (resid ** 2).sum(axis=1) / tot
-                yield pd.DataFrame({
-                    "symbol": g["symbol"].to_numpy(), "t": np.int32(t), "n_factors": np.int32(k), "alpha": coef[:, 0], "r2": r2,
-                    "kappa": blank(-np.log(sb) * year), "m": blank(a / (1 - sb)), "sigma_eq": blank(np.sqrt(var / (1 - sb ** 2))),
-                    "x_last": path[:, -1], "b": b, "beta": list(coef[:, 1:]), "q": list(q), "sigma": sd[:, 0]})
+    def fit(stocks: pd.DataFrame, day: pd.DataFrame) -> pd.DataFrame:
+        if stocks.empty or day.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
+        d = day.iloc[0]
+        k = int(d["n_factors"])
+        design, solver = np.asarray(d["design"]).reshape(w, k + 1), np.asarray(d["solver"]).reshape(k + 1, w)
+        r = np.vstack(stocks["r"].to_numpy())
+        z, sd = _standardise(r)
+        last = r[:, -w:]
+        coef = last @ solver.T
+        errors = last - coef @ design.T
+        path = errors.cumsum(axis=1)
+        with np.errstate(all="ignore"):
+            slope, level, noise = _ar1(path)
+            out = pd.DataFrame({
+                "symbol": stocks["symbol"].to_numpy(), "t": np.int32(d["day"]), "n_factors": np.int32(k), "alpha": coef[:, 0],
+                "r2": 1 - (errors ** 2).sum(axis=1) / last.var(axis=1) / w, "kappa": -np.log(slope) * year, "m": level / (1 - slope),
+                "sigma_eq": np.sqrt(noise / (1 - slope ** 2)), "x_last": path[:, -1], "b": slope, "beta": list(coef[:, 1:]),
+                "q": list((z @ np.asarray(d["mix"]).reshape(W, k)) / sd), "sigma": sd[:, 0]})
+        reverts = (slope > 0) & (slope < 1) & (noise > 0)
+        for c in ("kappa", "m", "sigma_eq"):
+            out[c] = pd.array(out[c].where(reverts), dtype="Float64")
+        return out
     return fit
 
 
-def eigen_fit(windows: DataFrame, days: DataFrame, cfg: FactorConfig) -> DataFrame:
-    """Every stock's loadings, factor regression and AR(1) fit, each from its own window and its day's small matrices."""
-    return windows.join(days.select("t", "n_factors", "mix", "design", "solver"), "t").mapInPandas(_fit_batches(cfg), FIT_SCHEMA)
+def eigen_fit(windows: DataFrame, days: DataFrame, cfg: FactorConfig, rows: int = 2000) -> DataFrame:
+    """Every stock's loadings, factor regression and AR(1) fit, each from its own window; a day's small matrices travel
+    once to each part of its stocks."""
+    stocks = _salted(windows, rows)
+    of = stocks.select("t", "_salt").distinct().join(days.select("t", "n_factors", "mix", "design", "solver"), "t")
+    of = of.select(F.col("t").alias("day"), F.col("_salt").alias("part"), "n_factors", "mix", "design", "solver")
+    return stocks.groupBy("t", "_salt").cogroup(of.groupBy("day", "part")).applyInPandas(_fit_part(cfg), FIT_SCHEMA)
 
 
 def eigenportfolios(fit: DataFrame, days: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.crosssection import avg_rank, ceil_group, place, qcut_group, safe_corr, size, splitters, wide_rank
+from ..functions.crosssection import avg_rank, ceil_group, place, qcut_group, rank_corr, safe_corr, size, splitters, wide_rank
 from ..functions.frames import ratio
 from ..session import cut_lineage
 
@@ -19,9 +19,9 @@ TIE = ("date", "symbol")
 
 
 def pooled_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str], tie: Sequence[str] = TIE) -> DataFrame:
-    """Average ranks of several columns over each whole group: {name}_rank for column -> name. The table is written
-    once and one pass finds the splitters of every column."""
-    df = cut_lineage(df)
+    """Average ranks of several columns over each whole group: {name}_rank for column -> name, among the rows that have
+    all of them. The table is written once and one pass finds the splitters of every column."""
+    df = cut_lineage(df.dropna(subset=list(columns)))
     cuts = splitters(df, list(by), list(columns))
     for c, name in columns.items():
         df = wide_rank(df, list(by), c, list(tie), F.col(tie[0]), prefix=f"{name}_", cuts=cuts)
@@ -44,7 +44,7 @@ def score_table(df: DataFrame, by: str, pred: str, y: str) -> DataFrame:
     any_call = F.max(F.when(moved, (p != 0).cast("int")))
     return r.groupBy(by).agg(
         mse.alias("mse"), (1 - mse / F.nullif(base, F.lit(0.0))).alias("r2_vs_zero"),
-        F.when(F.count("*") >= 3, safe_corr("p_rank", "y_rank")).alias("ic"),
+        F.when(F.count("*") >= 3, rank_corr("p_rank", "y_rank")).alias("ic"),
         F.when(any_call == 1, hits).alias("hit_rate"), F.count("*").alias("rows"))
 
 
@@ -87,7 +87,8 @@ def ic_by_group(df: DataFrame, by: Sequence[str], score: str, y: str, at_least:
     a, b = score, y
     if rank:
         df, a, b = date_ranks(df, by, [score, y], wide), f"{score}_rank", f"{y}_rank"
-    g = df.groupBy(*by).agg(safe_corr(a, b).alias("ic"), F.count("*").alias("n"))
+    corr = rank_corr(a, b) if rank else safe_corr(a, b)
+    g = df.groupBy(*by).agg(corr.alias("ic"), F.count("*").alias("n"))
     return g.where(F.col("n") >= at_least)
 
 
@@ -132,7 +133,7 @@ def agreement(df: DataFrame, models: Sequence[str]) -> DataFrame:
     """Average over dates of the rank correlation of every two models, all pairs in one aggregate."""
     r = date_ranks(df.dropna(subset=list(models)), ["date"], models)
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i:]]
-    g = r.groupBy("date").agg(*[safe_corr(f"{a}_rank", f"{b}_rank").alias(f"{a}|{b}") for a, b in pairs])
+    g = r.groupBy("date").agg(*[rank_corr(f"{a}_rank", f"{b}_rank").alias(f"{a}|{b}") for a, b in pairs])
     long = g.unpivot(["date"], [f"{a}|{b}" for a, b in pairs], "pair", "ic")
     part = lambda i: F.split("pair", r"\|")[i]
     return (long.groupBy(part(0).alias("model_a"), part(1).alias("model_b"))
@@ -145,4 +146,4 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) ->
     r = pooled_ranks(j.where(F.col("va").isNotNull() & F.col("vb").isNotNull()), [], {"va": "a", "vb": "b"}, list(keys))
     gaps = j.agg(F.max(F.abs(F.col("va") - F.col("vb"))).alias("max_gap"),
                  F.count(F.when(F.col("va").isNull() | F.col("vb").isNull(), 1)).alias("unmatched"))
-    return gaps.join(r.agg(safe_corr("a_rank", "b_rank").alias("rank_corr"), F.count("*").alias("matched")))
+    return gaps.join(r.agg(rank_corr("a_rank", "b_rank").alias("rank_corr"), F.count("*").alias("matched")))

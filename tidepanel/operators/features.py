@@ -13,6 +13,7 @@ from ..functions.crosssection import avg_rank, size
 from ..functions.frames import by_symbol, change, col, ratio, rolling, shift
 
 HIGH_WINDOW, VOLUME_WINDOW = 252, 63
+#: The published lags.
 LAGS = tuple(range(1, 21)) + tuple(range(40, 241, 20))
 TRADING_DAYS = 252
 _NAME = re.compile(r"^(ret|vol)_(\d+)$")
@@ -24,7 +25,7 @@ def past_return(x, n: int) -> Column:
 
 def rolling_vol(ret, n: int) -> Column:
     if int(n) < 2:
-        raise ValueError("a volatility window needs at least 2 days")
+        raise ValueError(f"no spread can be taken over {n!r} day(s)")
     return rolling(F.stddev_samp, ret, n)
 
 
@@ -46,7 +47,7 @@ def feature(name: str, high_window: int = HIGH_WINDOW, volume_window: int = VOLU
         return volume_zscore("volume", volume_window)
     if name == "hi52":
         return high_distance("adj_close", high_window)
-    raise ValueError(f"unknown feature name {name!r}: use ret_N, vol_N, volume_z or hi52")
+    raise ValueError(f"no feature is called {name!r}; there are ret_<days>, vol_<days>, volume_z and hi52")
 
 
 def feature_names(momentum: int = 21, extra: str = "vol_63") -> list[str]:

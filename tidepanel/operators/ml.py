@@ -25,6 +25,7 @@ from ..session import cut_lineage
 from . import evaluate as E
 from .splits import key_hash
 
+#: Model names and, in `classifier`, the published sizes of both presets.
 MODEL_NAMES = ("logit", "forest", "boosting", "mlp")
 ENSEMBLE = ("forest", "boosting", "mlp")
 UNLIMITED = 30          # Spark ML's deepest tree
@@ -57,28 +58,26 @@ def fit_forest(train: DataFrame, names: Sequence[str], label: str = "target", tr
     return Pipeline(stages=[assembler(names), rf]).fit(train)
 
 
-def classifier(name: str, names: Sequence[str], n_rows: int, preset: str = "quick", seed: int = 0, label: str = "y",
-               size: float = 1.0) -> Pipeline:
-    """A fresh classifier by name. preset "paper" uses the larger sizes; `size` scales tree and iteration counts."""
+def classifier(name: str, names: Sequence[str], n_rows: int, preset: str = "quick", seed: int = 0, label: str = "y") -> Pipeline:
+    """A fresh classifier by name. preset "paper" uses the larger sizes."""
     if preset not in ("quick", "paper"):
         raise ValueError("preset must be 'quick' or 'paper'")
     paper = preset == "paper"
-    many = lambda k: max(1, int(round(k * size)))
     k = len(names)
     subset = str(min(5, k))
     scaled = [assembler(names, "raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]
     if name == "logit":
-        return Pipeline(stages=scaled + [LogisticRegression(labelCol=label, regParam=1.0 / max(n_rows, 1), maxIter=many(500), standardization=False)])
+        return Pipeline(stages=scaled + [LogisticRegression(labelCol=label, regParam=1.0 / max(n_rows, 1), maxIter=500, standardization=False)])
     if name == "forest":
         return Pipeline(stages=[assembler(names), RandomForestClassifier(
-            labelCol=label, numTrees=many(1000 if paper else 150), maxDepth=20 if paper else 10, featureSubsetStrategy=subset,
+            labelCol=label, numTrees=1000 if paper else 150, maxDepth=20 if paper else 10, featureSubsetStrategy=subset,
             minInstancesPerNode=1 if paper else 100, subsamplingRate=1.0 if paper else 0.3, seed=seed)])
     if name == "boosting":
-        return Pipeline(stages=[assembler(names), GBTClassifier(labelCol=label, maxIter=many(100), maxDepth=3, stepSize=0.1,
+        return Pipeline(stages=[assembler(names), GBTClassifier(labelCol=label, maxIter=100, maxDepth=3, stepSize=0.1,
                                                                 featureSubsetStrategy="0.5", seed=seed)])
     if name == "mlp":
         return Pipeline(stages=scaled + [MultilayerPerceptronClassifier(labelCol=label, layers=[k, 31, 10, 5, 2], seed=seed,
-                                                                        maxIter=many(400 if paper else 60))])
+                                                                        maxIter=400 if paper else 60)])
     raise ValueError(f"unknown model {name!r}; use {', '.join(MODEL_NAMES)}")
 
 
@@ -97,7 +96,7 @@ def together(jobs: Sequence[Callable], threads: int = 4) -> list:
 
 
 def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], models: Sequence[str] = ("logit", "forest", "boosting"),
-                 preset: str = "quick", seed: int = 0, size: float = 1.0, threads: int = 4) -> DataFrame:
+                 preset: str = "quick", seed: int = 0, threads: int = 4) -> DataFrame:
     """Out-of-sample P(beats the median) for every traded day, one model per period and name; `ensemble` is the mean of
     the three machine-learning models when all ran. The panel is written once and every period reads its own dates."""
     panel = cut_lineage(panel)
@@ -108,7 +107,7 @@ def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], mod
         """All models of one period on the same training rows."""
         train = panel.where(d.between(F.lit(p["train_start"]), F.lit(p["train_end"])) & F.col("y").isNotNull())
         n = train.count()
-        return [classifier(m, names, n, preset, seed, size=size).fit(train) for m in models]
+        return [classifier(m, names, n, preset, seed).fit(train) for m in models]
 
     def trade(p, fitted):
         """The period's models applied one after another to its trading rows: no joins between their forecasts."""
@@ -124,13 +123,13 @@ def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], mod
     return out
 
 
-def train_latest(panel: DataFrame, cal: DataFrame, names: Sequence[str], days: int, model: str = "forest", size: float = 1.0,
+def train_latest(panel: DataFrame, cal: DataFrame, names: Sequence[str], days: int, model: str = "forest",
                  seed: int = 0) -> PipelineModel:
     """Fit on the most recent `days` labelled dates."""
     labelled = panel.where(F.col("y").isNotNull())
     keep = labelled.select("date").distinct().orderBy(F.desc("date")).limit(days)
     train = cut_lineage(labelled.join(F.broadcast(keep), "date", "left_semi"))
-    return classifier(model, names, train.count(), seed=seed, size=size).fit(train)
+    return classifier(model, names, train.count(), seed=seed).fit(train)
 
 
 def seed_average(models: Sequence[PipelineModel], df: DataFrame, keep: Sequence[str], out: str = "prob_up") -> DataFrame:
@@ -142,14 +141,14 @@ def seed_average(models: Sequence[PipelineModel], df: DataFrame, keep: Sequence[
     return df.select(*keep, (total / len(models)).alias(out))
 
 
-def cv_scores(rows: DataFrame, folds: DataFrame, names: Sequence[str], k: int, model: str = "logit", size: float = 1.0) -> DataFrame:
+def cv_scores(rows: DataFrame, folds: DataFrame, names: Sequence[str], k: int, model: str = "logit") -> DataFrame:
     """AUC and accuracy of a fresh model per fold; roles come from a (fold, date, role) table."""
     rows = cut_lineage(rows)
 
     def one(f):
         r = rows.join(F.broadcast(folds.where(F.col("fold") == f)), "date")
         train = r.where("role = 'train'")
-        m = classifier(model, names, train.count(), size=size).fit(train)
+        m = classifier(model, names, train.count()).fit(train)
         return predict(m, r.where("role = 'test'"), "p", ("fold", "date", "symbol", "y"))
 
     parts = together([lambda f=f: one(f) for f in range(1, k + 1)])
@@ -235,14 +234,21 @@ def load_strategy(spark: SparkSession, path: str, names: Sequence[str] | None =
     return PipelineModel.load(f"{path}/model"), manifest
 
 
-def expanding_years(trades: DataFrame, names: Sequence[str], years: Sequence[int], label: str = "win") -> DataFrame:
-    """For each year: train on trades closed before it, score the trades opened in it."""
+def expanding_years(trades: DataFrame, names: Sequence[str], label: str = "win", rounds: int = 100) -> DataFrame:
+    """For each year with a trade opened in it: train on trades closed before, score the year's trades. Years before which
+    no trade of each outcome was closed cannot be scored and are left out."""
     trades = cut_lineage(trades)
+    opened = trades.groupBy(F.year("entry").alias("year")).count()
+    closed = trades.groupBy(label).agg(F.min("exit").alias("first"))
+    ready = closed.agg(F.max("first").alias("d"), F.count("*").alias("k")).first()
+    years = [r["year"] for r in opened.orderBy("year").collect() if ready["k"] == 2 and f"{r['year']}-01-01" > str(ready["d"])]
+    if not years:
+        raise ValueError("no year follows closed trades of both outcomes")
 
     def one(year):
         train = trades.where(F.col("exit") < F.lit(f"{year}-01-01").cast("date"))
         test = trades.where(F.year("entry") == year)
-        gb = GBTClassifier(labelCol=label, maxIter=20, maxDepth=3, stepSize=0.05, seed=0)
+        gb = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.05, seed=0)
         m = Pipeline(stages=[assembler(names), gb]).fit(train)
         return predict(m, test, "p", ("symbol", "entry", "pnl", label)).withColumn("year", F.lit(year))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import clean
 from .factors import FactorConfig, _next
 
+#: Labels of orders that make a position smaller; the others are open and add to, long and short.
 REDUCING = ("close long", "reduce long", "close short", "reduce short")
 
 
@@ -34,12 +35,11 @@ def _legs(df: DataFrame, price: Column, extra: Sequence[str]) -> DataFrame:
     z = F.lit(0.0)
     legs = F.when(cur * tgt < 0, F.array(leg(0, cur, z), leg(1, z, tgt))).otherwise(F.array(leg(0, cur, tgt)))
     b, a = F.col("l.before"), F.col("l.after")
-    long_side = (b >= 0) & (a >= 0)
-    up = a > b
-    action = (F.when(long_side & up, F.when(b == 0, "open long").otherwise("add to long"))
-              .when(long_side, F.when(a == 0, "close long").otherwise("reduce long"))
-              .when(up, F.when(a == 0, "close short").otherwise("reduce short"))
-              .otherwise(F.when(b == 0, "open short").otherwise("add to short")))
+    # an action is what happens to the size of the position, on the side that it has before or after
+    up, grows = a > b, F.abs(a) > F.abs(b)
+    side = F.when(a + b > 0, "long").otherwise("short")
+    verb = F.when(grows & (b == 0), "open").when(grows, "add to").when(a == 0, "close").otherwise("reduce")
+    action = F.concat_ws(" ", verb, side)
     qty = F.round(F.abs(a - b), 6)
     out = df.select("account_id", "symbol", *extra, "cur", "target", price.alias("px"), F.explode(legs).alias("l"))
     return (out.select("account_id", "symbol", *extra, F.col("l.leg").alias("leg"), F.when(up, "buy").otherwise("sell").alias("side"),

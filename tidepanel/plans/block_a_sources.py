@@ -10,7 +10,12 @@ from .sqltext import sql
 
 COLS = "date, symbol, open, high, low, close, adj_close, volume"
 WEEK0, WEEK1 = "1997-01-06", "1999-01-04"
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]          # the columns that the SQL spells out
+
+
+def listed(t) -> list[str]:
+    """The symbols of the dimension: a pivot's columns must be known before it runs."""
+    return [r["symbol"] for r in t.sectors().select("symbol").distinct().orderBy("symbol").collect()]
 
 
 @query("a1_scan_bars", sql(f"SELECT {COLS} FROM bars WHERE date >= DATE '{WEEK0}' AND date < DATE '{WEEK1}'", "bars"))
@@ -111,12 +116,13 @@ def a11(t):
 @query("a12_pivot", sql("SELECT date, " + ", ".join(
     f"max(CASE WHEN symbol = '{b}' THEN adj_close END) AS \"{b}\"" for b in BRANDS) + " FROM bars GROUP BY date", "bars"))
 def a12(t):
-    return B.to_wide(t.bars(), "adj_close", BRANDS)
+    return B.to_wide(t.bars(), "adj_close", listed(t))
 
 
 @query("a12_unpivot", sql("SELECT date, symbol, x AS adj_close FROM grid", "grid"))
 def a12u(t):
-    return B.to_long(B.to_wide(t.bars(), "adj_close", BRANDS), "adj_close", BRANDS)
+    names = listed(t)
+    return B.to_long(B.to_wide(t.bars(), "adj_close", names), "adj_close", names)
 
 
 @query("a13_resample_4", sql("""SELECT e.date, g.symbol, g.c AS adj_close, round(g.o / g.c, 6) AS open_r, round(g.h / g.c, 6) AS high_r,

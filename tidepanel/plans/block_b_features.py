@@ -88,7 +88,7 @@ def b8w(t):
     return r.select("date", "symbol", F.round((F.col("rank") - 0.5) / F.col("size") - 0.5, 6).alias("r"))
 
 
-WLAGS = (1, 2, 3, 4, 5, 8, 12, 16, 20, 26, 39, 52)
+WLAGS = X.LAGS
 
 
 @query("b9_lagged_returns", sql("SELECT date, symbol, " + ", ".join(f"R{m}" for m in WLAGS) + " FROM (SELECT date, symbol, "

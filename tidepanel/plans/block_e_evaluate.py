@@ -66,8 +66,11 @@ def e10(t):
     return E.decile_table(known(t), "model", "score", "fwd").select("model", "decile", *rnd("mean_forecast", "mean_target", "target_se"), "rows")
 
 
+#: From whole sums of doubled ranks, so that no correlation is exactly 0.
+_DOT = lambda a, b: f"CAST(sum(CAST(round(2 * {a}) AS HUGEINT) * CAST(round(2 * {b}) AS HUGEINT)) - CAST(count(*) AS HUGEINT) * (count(*) + 1) * (count(*) + 1) AS DOUBLE)"
+RANK_CORR = f"{_DOT('rs', 'rf')} / nullif(sqrt({_DOT('rs', 'rs')}) * sqrt({_DOT('rf', 'rf')}), 0)"
 IC = f"""ranks AS (SELECT model, date, symbol, score, fwd, {avg_rank_sql('score', 'model, date')} AS rs, {avg_rank_sql('fwd', 'model, date')} AS rf FROM known),
-ics AS (SELECT model, date, corr(rs, rf) AS ic, count(*) AS n FROM ranks GROUP BY model, date HAVING count(*) >= 5)"""
+ics AS (SELECT model, date, {RANK_CORR} AS ic, count(*) AS n FROM ranks GROUP BY model, date HAVING count(*) >= 5)"""
 
 
 @query("e11_ic_by_date", sql(f"WITH {IC} SELECT model, date, round(ic, 6) AS ic, n FROM ics", "known"))
@@ -139,16 +142,16 @@ def e15t(t):
     return E.period_accuracy(known(t), ["model", "date"], "score", "fwd", 0.0).select("model", "date", *rnd("accuracy"), "n")
 
 
-_M3 = ("rev5", "str", "wstr")
-_AGR = ", ".join(f"{avg_rank_sql(m, 'date')} AS {m}" for m in _M3)
-_PAIRS = [(a, b) for i, a in enumerate(_M3) for b in _M3[i:]]
+_ALL = MODELS
+_AGR = ", ".join(f"{avg_rank_sql(m, 'date')} AS {m}" for m in _ALL)
+_PAIRS = [(a, b) for i, a in enumerate(_ALL) for b in _ALL[i:]]
 
 
-@query("e20_agreement", sql(f"WITH r AS (SELECT date, {_AGR} FROM score_cols WHERE rev5 IS NOT NULL AND str IS NOT NULL AND wstr IS NOT NULL)\n"
+@query("e20_agreement", sql(f"WITH r AS (SELECT date, {_AGR} FROM score_cols WHERE " + " AND ".join(f"{m} IS NOT NULL" for m in MODELS) + ")\n"
        + " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, round(avg(c), 6) AS agreement, count(c) AS days FROM (SELECT corr({a}, {b}) AS c FROM r GROUP BY date)" for a, b in _PAIRS), "score_cols"))
 def e20(t):
-    s = t.score_columns().select("date", "symbol", *_M3)
-    return E.agreement(s, _M3).select("model_a", "model_b", *rnd("agreement"), "days")
+    s = t.score_columns().select("date", "symbol", *_ALL)
+    return E.agreement(s, _ALL).select("model_a", "model_b", *rnd("agreement"), "days")
 
 
 @query("e20_spread", sql("SELECT model, round(avg(sd), 6) AS spread FROM (SELECT model, date, stddev_samp(score) AS sd FROM known GROUP BY ALL) GROUP BY model", "known"))

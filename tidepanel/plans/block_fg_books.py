@@ -227,9 +227,10 @@ def g4(t):
 def benchmark_daily(t):
     t.keep_panel()
     days = t.scores(("rev5",)).select(F.lit("benchmark").alias("variant"), "t", "date").distinct()
-    reb = days.where(F.pmod(F.col("t") - 5, F.lit(4)) == 0).select("variant", "t")
+    first = days.select(F.min("t")).scalar()
+    reb = days.where(F.pmod(F.col("t") - first, F.lit(4)) == 0).select("variant", "t")
     symbols = t.sectors().select("symbol")
-    targets = G.equal_weight_targets(symbols, reb, F.lit(25))
+    targets = G.equal_weight_targets(symbols, reb, symbols.select(F.count("*")).scalar())
     return G.drifting(targets, t.panel().select("symbol", "t", change("adj_close", 1).alias("ret")), days, 5.0)
 
 

@@ -14,6 +14,7 @@ from ..operators.backtest import window_trades
 from ..operators.features import market_volatility
 from .block_e_evaluate import R, rnd
 from .block_j_stats import perf, perf_sql, PERF
+from ..session import materialise
 from .registry import query
 from .sqltext import cte, sql
 
@@ -282,10 +283,10 @@ def h15(t):
 # ------------------------------------------------------------------ eigenportfolios
 
 def eigen_of(t):
-    """As-of days every fourth week."""
+    """Every as-of week."""
     stock, _ = inputs(t)
-    w = EI.return_windows(stock, CFG, 4)
-    days = H.cut_lineage(EI.eigen_days(w, CFG, salts=1))       # 25 brands: one part per day is enough
+    w = materialise(EI.return_windows(stock, CFG), "windows")
+    days = H.cut_lineage(EI.eigen_days(w, CFG))
     return stock, w, days, EI.eigen_fit(w, days, CFG)
 
 
@@ -347,7 +348,7 @@ def f9(t):
 
 @query("g7_stateful_backtest_eigen")
 def g7e(t):
-    """The stateful book with eigenportfolio hedges, looked at every fourth week."""
+    """The stateful book with eigenportfolio hedges."""
     stock, fit, days, states = eigen_states(t)
     d = H.stateful_backtest(EI.factor_book(states, fit, CFG), states, days, stock.select("symbol", "t", "ret"), t.calendar(), CFG)
     return d.select("date", *rnd("gross", "turnover", "net"), "n_long", "n_short")

@@ -102,11 +102,11 @@ def j8(t):
     return J.volatility_buckets(d, market_volatility(t.panel(), 20, 52)).select("variant", "bucket", *rnd("gross", "net"), "days")
 
 
-@query("j9_side_by_side", sql(" UNION ALL ".join(f"SELECT '{n}' AS stat, " + ", ".join(f"round(max(CASE WHEN variant = '{v}' THEN {n} END), 6)::DOUBLE AS {v}" for v in ("mom", "rev5", "str"))
+@query("j9_side_by_side", sql(" UNION ALL ".join(f"SELECT '{n}' AS stat, " + ", ".join(f"round(max(CASE WHEN variant = '{v}' THEN {n} END), 6)::DOUBLE AS {v}" for v in ("mom", "rev5", "str", "wstr"))
        + " FROM ls_perf" for n in (*PERF, "days")), "ls_perf"))
 def j9(t):
-    s = J.side_by_side(perf(ls_daily(t)), ("mom", "rev5", "str"), (*PERF, "days"))
-    return s.select("stat", *rnd("mom", "rev5", "str"))
+    s = J.side_by_side(perf(ls_daily(t)), ("mom", "rev5", "str", "wstr"), (*PERF, "days"))
+    return s.select("stat", *rnd("mom", "rev5", "str", "wstr"))
 
 
 cte("two", """SELECT n AS date, a.net AS x, b.net AS y, (a.net + b.net) / 2 AS blend FROM (SELECT * FROM ls WHERE variant = 'str') a JOIN (SELECT * FROM ls WHERE variant = 'mom') b USING (date)

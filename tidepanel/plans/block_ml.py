@@ -1,4 +1,4 @@
-"""Spark ML queries: sizes are cut so that each runs in seconds; the operators take any size."""
+"""Spark ML queries at the operators' own model sizes (preset "quick", as the parameter tables of `operators/ml.py` say)."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from .block_i_charts import D, market
 from .registry import query
 
 RN = [f"R{m}" for m in WLAGS]
+PANEL_TRAIN_END, PANEL_TEST_START = "2000-10-02", "2000-11-06"        # the panel starts when its longest lag is known
 
 
 def split(t):
@@ -48,7 +49,7 @@ def e2(t):
 
 @query("e3_forest_scores")
 def e3(t):
-    p = fitted_scores(t, {"forest": lambda d: M.fit_forest(d, NAMES, trees=20, depth=6, leaf=50)})
+    p = fitted_scores(t, {"forest": lambda d: M.fit_forest(d, NAMES, trees=200, depth=6, leaf=50)})
     return E.score_table(p, "model", "p", "target").select("model", *rnd("mse", "r2_vs_zero", "ic", "hit_rate"), "rows")
 
 
@@ -57,10 +58,10 @@ def e4(t):
     """The four classifiers on one split: AUC and accuracy on the test weeks."""
     panel = cut_lineage(L.make_panel(t.keep_panel().panel(), WLAGS))
     d = F.col("date")
-    train = panel.where((d <= F.lit(TRAIN_END).cast("date")) & F.col("y").isNotNull())
-    test = panel.where((d >= F.lit(TEST_START).cast("date")) & F.col("y").isNotNull())
+    train = panel.where((d <= F.lit(PANEL_TRAIN_END).cast("date")) & F.col("y").isNotNull())
+    test = panel.where((d >= F.lit(PANEL_TEST_START).cast("date")) & F.col("y").isNotNull())
     n = train.count()
-    fits = M.together([lambda m=m: M.classifier(m, RN, n, size=0.1).fit(train) for m in M.MODEL_NAMES])
+    fits = M.together([lambda m=m: M.classifier(m, RN, n).fit(train) for m in M.MODEL_NAMES])
     out = None
     for name, m in zip(M.MODEL_NAMES, fits):
         p = M.predict(m, test, "p", ("date", "symbol", "y")).withColumn("model", F.lit(name))
@@ -69,9 +70,10 @@ def e4(t):
 
 
 def predictions(t):
-    """Walk-forward predictions of the weekly panel: 150 weeks of training, 50 of trading."""
+    """Walk-forward predictions of the weekly panel, whose first 240 weeks go to the longest lag: 60 weeks of training, 20 of
+    trading."""
     panel = L.make_panel(t.keep_panel().panel(), WLAGS)
-    return M.walk_forward(panel, S.study_periods(panel, 150, 50), RN, M.MODEL_NAMES, size=0.05)
+    return M.walk_forward(panel, S.study_periods(panel, 60, 20), RN, M.MODEL_NAMES)
 
 
 @query("e5_walk_forward")
@@ -83,7 +85,7 @@ def e5(t):
 def e7(t):
     """Model of the last 150 labelled weeks, scoring the newest week."""
     panel = cut_lineage(L.make_panel(t.keep_panel().panel(), WLAGS))
-    m = M.train_latest(panel, t.calendar(), RN, 150, "forest", 0.1)
+    m = M.train_latest(panel, t.calendar(), RN, 150, "forest")
     last = panel.select(F.max("date")).scalar()
     return M.predict(m, panel.where(F.col("date") == last), "score", ("date", "symbol"))
 
@@ -92,9 +94,9 @@ def e7(t):
 def e8(t):
     """Save a strategy, load it back, score with both: the largest gap is zero."""
     panel = cut_lineage(L.make_panel(t.keep_panel().panel(), WLAGS))
-    m = M.train_latest(panel, t.calendar(), RN, 100, "logit", 0.1)
+    m = M.train_latest(panel, t.calendar(), RN, 100, "logit")
     path = shared_folder(t.spark, "strategy")
-    M.save_strategy(t.spark, m, path, {"features": RN, "lookback": 53, "model": "logit"})
+    M.save_strategy(t.spark, m, path, {"features": RN, "lookback": max(WLAGS) + 1, "model": "logit", "universe": sorted(r[0] for r in t.sectors().select("symbol").collect())})
     again, manifest = M.load_strategy(t.spark, path, RN)
     a = M.predict(m, panel, "a", ("date", "symbol"))
     b = M.predict(again, panel, "b", ("date", "symbol"))
@@ -105,7 +107,7 @@ def e8(t):
 @query("e16_permutation_importance")
 def e16(t):
     s = cut_lineage(split(t.keep_panel()))
-    m = M.fit_forest(s.where("split = 'train'"), NAMES, trees=20)
+    m = M.fit_forest(s.where("split = 'train'"), NAMES, trees=200)
     return M.permutation_importance(m, s.where("split = 'test'"), NAMES, "target", 3)
 
 
@@ -113,7 +115,7 @@ def e16(t):
 def e17(t):
     """Impurity importance next to permutation importance."""
     s = cut_lineage(split(t.keep_panel()))
-    m = M.fit_forest(s.where("split = 'train'"), NAMES, trees=20)
+    m = M.fit_forest(s.where("split = 'train'"), NAMES, trees=200)
     p = M.permutation_importance(m, s.where("split = 'test'"), NAMES, "target", 2)
     return M.impurity_importance(t.spark, m, NAMES).join(p, "feature")
 
@@ -123,23 +125,23 @@ def e18(t):
     """Real features against real plus thirty noise columns."""
     s = M.noise_columns(split(t.keep_panel()), 30)
     noisy = NAMES + [f"noise_{i}" for i in range(30)]
-    return M.train_test_r2({"real": lambda d: M.fit_forest(d, NAMES, trees=10), "real+noise": lambda d: M.fit_forest(d, noisy, trees=10)}, s)
+    return M.train_test_r2({"real": lambda d: M.fit_forest(d, NAMES, trees=200), "real+noise": lambda d: M.fit_forest(d, noisy, trees=200)}, s)
 
 
 @query("e19_depth_sweep")
 def e19(t):
     """One tree per depth: the training fit keeps rising, the test fit does not."""
-    return M.train_test_r2({f"depth_{k:02d}": M.tree(NAMES, k) for k in (1, 2, 3, 4, 6, 8, 10, 12)}, split(t.keep_panel()))
+    return M.train_test_r2({f"depth_{k:02d}": M.tree(NAMES, k) for k in range(1, 21)}, split(t.keep_panel()))
 
 
 @query("e23_seed_average")
 def e23(t):
     """Mean of three forests that differ by seed."""
     panel = cut_lineage(L.make_panel(t.keep_panel().panel(), WLAGS))
-    train = panel.where((F.col("date") <= F.lit(TRAIN_END).cast("date")) & F.col("y").isNotNull())
+    train = panel.where((F.col("date") <= F.lit(PANEL_TRAIN_END).cast("date")) & F.col("y").isNotNull())
     n = train.count()
-    ms = M.together([lambda s=s: M.classifier("forest", RN, n, seed=s, size=0.05).fit(train) for s in (0, 1, 2)])
-    return M.seed_average(ms, panel.where(F.col("date") >= F.lit(TEST_START).cast("date")), ("date", "symbol"))
+    ms = M.together([lambda s=s: M.classifier("forest", RN, n, seed=s).fit(train) for s in (0, 1, 2)])
+    return M.seed_average(ms, panel.where(F.col("date") >= F.lit(PANEL_TEST_START).cast("date")), ("date", "symbol"))
 
 
 @query("d10_cv_scores")
@@ -147,15 +149,15 @@ def d10(t):
     """Purged folds: AUC per fold."""
     panel = L.make_panel(t.keep_panel().panel(), WLAGS).where("y IS NOT NULL")
     folds = S.purged_folds(panel.select("date").distinct(), 4, 1, 2)
-    return M.cv_scores(panel, cut_lineage(folds), RN, 4, "logit", 0.1)
+    return M.cv_scores(panel, cut_lineage(folds), RN, 4, "logit")
 
 
-META, YEARS = ["abs_s", "tau", "market_vol"], (1997, 1998, 1999, 2000)
+META = ["abs_s", "tau", "sigma_eq", "r2", "alpha", "side", "market_vol"]
 
 
 def meta_scored(t):
     tr, _ = trades_of(t)
-    return M.expanding_years(meta_rows(t, tr).dropna(subset=META), META, YEARS)
+    return M.expanding_years(meta_rows(t, tr).dropna(subset=META), META)
 
 
 @query("d11_expanding_years")
@@ -174,10 +176,10 @@ def j15(t):
     return halves.join(auc.select("year", "auc", "rows"), "year")
 
 
-def chart_models(t, seeds=(0, 1)):
+def chart_models(t, seeds=(0, 1, 2, 3, 4)):
     train = market(t, t.panel().where(F.col("date") <= F.lit(TRAIN_END).cast("date")))
-    im = C.image_vectors(C.make_images(train, D, 5, every=2), D)
-    return M.chart_classifier(im.select("date", "symbol", F.col("label").cast("double").alias("label"), "features"), seeds, 20)
+    im = C.image_vectors(C.make_images(train, D, 5), D)
+    return M.chart_classifier(im.select("date", "symbol", F.col("label").cast("double").alias("label"), "features"), seeds)
 
 
 @query("i6_chart_classifier")

@@ -68,7 +68,10 @@ def densify(panel: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def to_wide(panel: DataFrame, value: str, symbols: list[str]) -> DataFrame:
-    """Dates down, one column per listed symbol. The list is given, so no job runs to discover it."""
+    """Dates down, one column per listed symbol. The list comes from a dimension, so no job runs over the bars to find
+    it; a symbol that is not listed stops the job rather than being left out."""
+    known = F.when(F.col("symbol").isin(symbols), F.col("symbol")).otherwise(F.raise_error(F.concat(F.lit("symbol not in the list: "), F.col("symbol"))))
+    panel = panel.withColumn("symbol", known)
     return panel.groupBy("date").pivot("symbol", symbols).agg(F.first(value))
 
 
