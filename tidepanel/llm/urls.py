@@ -43,8 +43,13 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def _grams(url: Column) -> Column:
+    """All runs of ORDER + 1 characters, from shifted copies of the list of characters: the work follows the length."""
     s = F.concat(F.lit(_PAD), lower_ascii(F.coalesce(url, F.lit(""))), F.lit(_END))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: F.substring(s, i, ORDER + 1))
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    out = F.slice(chars, F.lit(1), F.size(chars) - ORDER)
+    for k in range(1, ORDER + 1):
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.size(chars) - ORDER), lambda a, b: F.concat(a, b))
+    return out
 
 
 def log_ratios(grams: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
