@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions.crosssection import avg_rank, ceil_group, qcut_group, wide_percentiles, wide_rank
+from tidepanel.functions.crosssection import avg_rank, ceil_group, qcut_group, rank_corr, wide_percentiles, wide_rank
 from tidepanel.functions.normal import expected_best, normal_cdf, normal_ppf
 
 
@@ -24,7 +24,7 @@ def skewed(spark):
 @pytest.mark.parametrize("by", [["g"], []])
 def test_wide_rank_matches_pandas(skewed, by):
     sdf, pdf = skewed
-    got = wide_rank(sdf, by, "x", ["d", "k"], F.lpad(F.col("d").cast("string"), 4, "0")).toPandas().set_index("k").sort_index()
+    got = wide_rank(sdf, by, "x", ["d", "k"]).toPandas().set_index("k").sort_index()
     p = pdf.dropna().sort_values(["x", "d", "k"]).copy()
     grp = p.groupby(by) if by else p.groupby(lambda _: 0)
     p["place"] = grp.cumcount() + 1
@@ -36,6 +36,32 @@ def test_wide_rank_matches_pandas(skewed, by):
         assert (got[c].to_numpy() == p[c].to_numpy()).all(), c
 
 
+def test_no_task_holds_a_group_or_a_value(spark):
+    """Half the rows share one value in one group: every range still gets its share, and no exchange is on the group."""
+    df = spark.range(4000).selectExpr("'g' AS g", "IF(id % 2 = 0, 0.5D, id / 4000D) AS x", "id AS k")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = wide_rank(df, ["g"], "x", ["k"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert "hashpartitioning(g#" not in plan and "hashpartitioning(_part#" in plan
+    assert got.count() == 4000 and max(sizes) < 1200
+
+
+def test_correlation_of_nothing_is_zero(spark):
+    """Ranks built to be uncorrelated: exactly 0 in every order of the rows."""
+    a, b = [2, 2, 1, 1, 3, 3], [1, 2, 1, 2, 1, 2]
+    rows = [(i, (x - 1) * 2 + 1.5, (y - 1) * 3 + 2.0) for i, (x, y) in enumerate(zip(a, b))]
+    for seed in range(4):
+        df = spark.createDataFrame(rows, "i int, a double, b double").orderBy(F.rand(seed)).repartition(3)
+        assert df.agg(rank_corr("a", "b")).first()[0] == 0.0
+
+
 def test_narrow_rank_matches_pandas(skewed):
     sdf, pdf = skewed
     got = sdf.select("k", avg_rank("x", ["g"]).alias("r")).toPandas().set_index("k").sort_index()["r"]

@@ -1,8 +1,8 @@
 """Ranks, quantile groups and top-k picks within a date (or any group).
 
 `narrow` ranks use one window per group: right where a group is a universe of instruments. `wide_rank` is for groups
-of any size (a pooled table, a universe that grows with the data): it cuts each group into value ranges at
-checkpointed splitters, ranks inside a range, and adds the counts of the lower ranges. It is exact, ties included.
+of any size (a pooled table, a universe that grows with the data): it deals rows by value ranges, takes places inside a
+range, and adds the counts of the lower ranges. It is exact, ties included.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialise
 from .frames import col
 
 DATE = ("date",)
@@ -47,58 +47,41 @@ def qcut_group(rank, n_rows, groups: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(raw, F.lit(1))).cast("bigint")
 
 
-def splitters(df: DataFrame, by: list[str], columns: list[str], pieces: int = 64) -> DataFrame:
-    """Per group, at most pieces - 1 values of each column that cut it into about equal parts. One small checkpointed
-    row per group: a lost executor cannot recompute them differently."""
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = df.groupBy(*by).agg(*[
-        F.coalesce(F.array_sort(F.array_distinct(F.percentile_approx(F.col(c), probs, F.lit(10000)))),
-                   F.array().cast("array<double>")).alias(f"_cuts_{c}") for c in columns])
-    return cut_lineage(cuts)
+def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a written table of at most `most` rows, counted; else the plain table."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def wide_rank(df: DataFrame, by: list[str], x: str, tie: list[str], coarse: Column | None = None, pieces: int = 64,
-              prefix: str = "", cuts: DataFrame | None = None) -> DataFrame:
+def wide_rank(df: DataFrame, by: list[str], x: str, tie: list[str], prefix: str = "") -> DataFrame:
     """Adds {prefix}place (1..n by x then `tie`), {prefix}rank (average ties) and {prefix}size to the rows with a known x.
 
-    No task ever holds a whole group: a group is cut at `pieces` splitter values. A value heavy enough to be a splitter
-    gets a piece of its own, cut further by `coarse`, an expression that never decreases along the tie order.
-    The input is written to the checkpoint folder once, since it is read three times; pass `cuts` from `splitters` when
-    it already is.
+    The input is written once and dealt by ranges of (group, x, tie), so a group, or a value, of any size is cut where
+    the ranges fall; the number of ranges is the session's number of shuffle partitions. A row's place is its place in its
+    range plus the rows of the group in earlier ranges. Ties are counted inside a range; only values at the ends of
+    ranges can reach over several, and those are few and counted apart. No exchange is on the group alone, but for the
+    table of ranges.
     """
-    by = list(by)
-    p = lambda s: f"{prefix}{s}"
-    df = df.where(F.col(x).isNotNull())
-    if cuts is None:
-        df = cut_lineage(df)
-        cuts = splitters(df, by, [x], pieces)
-    cuts = cuts.select(*by, F.col(f"_cuts_{x}").alias("_cuts"))
-    tagged = df.join(cuts, by) if by else df.withColumn("_cuts", cuts.scalar())
-    heavy = F.array_contains("_cuts", F.col(x))
-    tagged = (tagged.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(x))) * 2 + heavy.cast("int"))
-              .withColumn("_sub", F.when(heavy, (F.lit("") if coarse is None else coarse).cast("string"))
-                          .otherwise(F.lit("")))
-              .drop("_cuts"))
-    counts = tagged.groupBy(*by, "_piece", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*by).orderBy("_piece", "_sub")
-    piece = Window.partitionBy(*by, "_piece")
-    start = (counts
-             .withColumn("_before", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-             .withColumn("_piece_n", F.sum("_n").over(piece))
-             .withColumn("_piece_before", F.min("_before").over(piece))
-             .withColumn(p("size"), F.sum("_n").over(Window.partitionBy(*by)))
-             .drop("_n"))
-    rows = tagged.join(start, by + ["_piece", "_sub"])
-    inside = Window.partitionBy(*by, "_piece", "_sub")
-    order = [F.col(c) for c in tie]
-    lone = F.col("_piece") % 2 == 1
-    rows = (rows
-            .withColumn(p("place"), F.col("_before") + F.row_number().over(inside.orderBy(F.col(x), *order)))
-            .withColumn("_low", F.when(lone, F.lit(1)).otherwise(F.rank().over(inside.orderBy(F.col(x)))))
-            .withColumn("_same", F.when(lone, F.col("_piece_n"))
-                        .otherwise(F.count(F.lit(1)).over(Window.partitionBy(*by, "_piece", "_sub", x)))))
-    return (rows.withColumn(p("rank"), F.col("_piece_before") + F.col("_low") + (F.col("_same") - 1) / 2.0)
-            .drop("_piece", "_sub", "_before", "_piece_n", "_piece_before", "_low", "_same"))
+    by, keys = list(by), [*by, x, *tie]
+    df = materialise(df.where(F.col(x).isNotNull()), "rank-input")
+    ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+              .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    ranged = materialise(ranged, "rank-ranges")
+    parts = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.min(x).alias("_min"), F.max(x).alias("_max"))
+    group = Window.partitionBy(*by)
+    before = F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = materialise(parts.withColumn("_shift", F.coalesce(before, F.lit(0)) - F.col("_first") + 1).withColumn(f"{prefix}size", F.sum("_n").over(group)),
+                        "rank-parts")
+    rows = ranged.join(_small(parts.drop("_n", "_first", "_min", "_max")), [*by, "_part"])
+    rows = rows.withColumn(f"{prefix}place", F.col("_at") + F.col("_shift")).drop("_at", "_shift")
+    ends = parts.select(*by, F.explode(F.array_distinct(F.array("_min", "_max"))).alias(x))
+    over = ends.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    over = rows.join(_small(materialise(over, "rank-ends")), [*by, x]).groupBy(*by, x).agg(
+        F.min(f"{prefix}place").alias("_over_low"), F.count(F.lit(1)).alias("_over_n"))
+    inside = Window.partitionBy("_part", *by, x)
+    rows = rows.withColumn("_low", F.min(f"{prefix}place").over(inside)).withColumn("_same", F.count(F.lit(1)).over(inside))
+    rows = rows.join(_small(materialise(over, "rank-over")), [*by, x], "left")
+    rank = F.coalesce("_over_low", "_low") + (F.coalesce("_over_n", "_same") - 1) / 2.0
+    return rows.withColumn(f"{prefix}rank", rank).select(*df.columns, f"{prefix}place", f"{prefix}rank", f"{prefix}size")
 
 
 def safe_corr(a, b) -> Column:
@@ -121,10 +104,9 @@ def rank_corr(a, b) -> Column:
     return F.when((xx > 0) & (yy > 0), dot(a, b) / (F.sqrt(xx) * F.sqrt(yy)))
 
 
-def wide_percentiles(df: DataFrame, by: list[str], x: str, probs: list[float], tie: list[str], names: list[str],
-                     coarse: Column | None = None) -> DataFrame:
+def wide_percentiles(df: DataFrame, by: list[str], x: str, probs: list[float], tie: list[str], names: list[str]) -> DataFrame:
     """Exact interpolated percentiles per group, read off the places of `wide_rank`."""
-    r = wide_rank(df, by, x, tie, coarse)
+    r = wide_rank(df, by, x, tie)
     out = []
     for p, name in zip(probs, names):
         at = (F.col("size") - 1) * F.lit(float(p))

@@ -11,20 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.crosssection import avg_rank, ceil_group, place, qcut_group, rank_corr, safe_corr, size, splitters, wide_rank
+from ..functions.crosssection import avg_rank, ceil_group, place, qcut_group, rank_corr, safe_corr, size, wide_rank
 from ..functions.frames import ratio
-from ..session import cut_lineage
 
 TIE = ("date", "symbol")
 
 
 def pooled_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str], tie: Sequence[str] = TIE) -> DataFrame:
     """Average ranks of several columns over each whole group: {name}_rank for column -> name, among the rows that have
-    all of them. The table is written once and one pass finds the splitters of every column."""
-    df = cut_lineage(df.dropna(subset=list(columns)))
-    cuts = splitters(df, list(by), list(columns))
+    all of them. Each column's ranking reads a written table, not the ranking before it again."""
+    df = df.dropna(subset=list(columns))
     for c, name in columns.items():
-        df = wide_rank(df, list(by), c, list(tie), F.col(tie[0]), prefix=f"{name}_", cuts=cuts)
+        df = wide_rank(df, list(by), c, list(tie), prefix=f"{name}_")
     return df
 
 
@@ -60,7 +58,7 @@ def auc_accuracy(df: DataFrame, by: str, score: str, y: str, threshold: float) -
 
 def decile_table(df: DataFrame, by: str, pred: str, y: str, n: int = 10) -> DataFrame:
     """Equal-count groups of the pooled forecasts: mean forecast, mean target, its standard error, rows."""
-    r = wide_rank(df.select(by, *TIE, pred, y), [by], pred, list(TIE), F.col("date"))
+    r = wide_rank(df.select(by, *TIE, pred, y), [by], pred, list(TIE))
     return (r.withColumn("decile", qcut_group("place", "size", n)).groupBy(by, "decile")
             .agg(F.avg(pred).alias("mean_forecast"), F.avg(y).alias("mean_target"),
                  (F.stddev_samp(y) / F.sqrt(F.count("*"))).alias("target_se"), F.count("*").alias("rows")))

@@ -183,6 +183,6 @@ def j13(t):
 def j14(t):
     """Typical move, mean target and the error of forecasting zero; the pooled median is read off distributed ranks."""
     p = t.keep_panel().panel().select("date", "symbol", F.abs(change("adj_close", 1)).alias("a"), ahead("adj_close", 1).alias("fwd"))
-    med = wide_percentiles(p.select("date", "symbol", "a"), [], "a", [0.5], ["date", "symbol"], ["median_abs_return"], F.col("date"))
+    med = wide_percentiles(p.select("date", "symbol", "a"), [], "a", [0.5], ["date", "symbol"], ["median_abs_return"])
     rest = p.agg(F.round(F.avg("fwd"), 6).alias("mean_target"), F.round(F.avg(F.col("fwd") * F.col("fwd")), 6).alias("zero_mse"))
     return med.select(*rnd("median_abs_return")).join(F.broadcast(rest))
