@@ -30,9 +30,13 @@ def lower_ascii(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint when the counted rows stay within `max_rows`; else the plain table, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int, wide: str | None = None, max_bytes: int = 32 << 20) -> DataFrame:
+    """A broadcast hint when the counted rows stay within `max_rows`, and the bytes of the column `wide`, if one is named,
+    within `max_bytes`; else the plain table, for a shuffled join."""
+    if wide is None:
+        return F.broadcast(df) if df.count() <= max_rows else df
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def map_text(df: DataFrame, new: T.StructType, work: Callable[[], Callable[[list[bytes | None]], dict[str, list | pa.Array]]],

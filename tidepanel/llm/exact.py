@@ -31,8 +31,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fi
     the output's names are replaced. An empty table gives an empty result.
 
     Digits take `first_bytes`, then `growth` times as many each round up to `most_bytes`: the rounds follow the logarithm
-    of the longest text that has a twin so far. Tables of groups are broadcast up to `broadcast_rows` rows, counted
-    first; beyond that they meet the rows in a shuffled join.
+    of the longest text that has a twin so far. Tables of groups are broadcast up to `broadcast_rows` rows and
+    32 MB of digits, counted first; beyond that they meet the rows in a shuffled join.
     """
     docs = without(docs, *OUT)
     names = docs.columns if carry is None else carry
@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fi
         cut = live.withColumn("_digit", F.substring("_bytes", F.lit(at + 1), F.lit(width)))
         groups = materialise(cut.groupBy("_group", "_digit").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
                              .withColumn("_next", F.monotonically_increasing_id()), "exact-groups")
-        side = small_side(groups, broadcast_rows)
+        side = small_side(groups.drop("_n"), broadcast_rows, "_digit")
         split = materialise(cut.join(side, ["_group", "_digit"]).select(
             "_rid", "_id", F.col("_next").alias("_group"), (F.length("_bytes") <= at + width).alias("_ended"),
             F.when(F.length("_bytes") > at + width, F.col("_bytes")).alias("_bytes")), "exact-split")
