@@ -18,7 +18,7 @@ def panel(toy):
 
 def test_walk_forward_covers_every_traded_day_once(panel):
     periods = S.study_periods(panel, 60, 40)
-    p = M.walk_forward(panel, periods, RN, ("logit", "forest"), size=0.05).cache()
+    p = M.walk_forward(panel, periods, RN, ("logit", "forest")).cache()
     first = periods.agg(F.min("trade_start")).first()[0]
     traded = panel.where(F.col("date") >= F.lit(first))
     assert p.count() == traded.count() == p.select("date", "symbol").distinct().count()

@@ -19,7 +19,7 @@ from .block_d_splits import TEST_START, TRAIN_END
 from .block_e_evaluate import rnd
 from .block_h_factors import meta_rows, trades_of
 from .block_i_charts import D, market
-from .registry import query
+from .registry import ORACLES, query
 
 RN = [f"R{m}" for m in WLAGS]
 PANEL_TRAIN_END, PANEL_TEST_START = "2000-10-02", "2000-11-06"        # the panel starts when its longest lag is known
@@ -90,7 +90,7 @@ def e7(t):
     return M.predict(m, panel.where(F.col("date") == last), "score", ("date", "symbol"))
 
 
-@query("e8_saved_strategy")
+@query("e8_saved_strategy", f"SELECT 0.0::DOUBLE AS max_gap, count(*) AS rows, {len(RN)} AS features FROM ({ORACLES['c6_make_panel']})")
 def e8(t):
     """Save a strategy, load it back, score with both: the largest gap is zero."""
     panel = cut_lineage(L.make_panel(t.keep_panel().panel(), WLAGS))
