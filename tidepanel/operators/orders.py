@@ -177,12 +177,13 @@ def last_rebalance(history: DataFrame, prefix: str, by: Sequence[str] = ("accoun
 
 def rebalance_due(last: DataFrame, cal: DataFrame, decision: Column, every: int) -> DataFrame:
     """Trading days since the last rebalance, and whether `every` of them have passed."""
-    days = cal.where(F.col("date") <= decision).select("date", "t")
-    top = days.select(F.max("t")).scalar()
-    seen = F.broadcast(days.select(F.collect_list("date").alias("days")))
+    days = F.broadcast(cal.where(F.col("date") <= decision).select(F.collect_list("date").alias("days")))
+    # counted once for each date on which somebody last rebalanced, of which there are no more than calendar days
+    dates = last.select("last_rebalance").where("last_rebalance IS NOT NULL").distinct()
     since = F.size(F.filter("days", lambda d: d > F.col("last_rebalance"))).cast("bigint")
-    return last.join(seen).select(*last.columns, F.when(F.col("last_rebalance").isNotNull(), since).alias("days_since"),
-                                  (F.col("last_rebalance").isNull() | (since >= every)).cast("int").alias("due"))
+    dates = dates.join(days).select("last_rebalance", since.alias("days_since"))
+    return last.join(F.broadcast(dates), "last_rebalance", "left").select(
+        *last.columns, "days_since", (F.col("days_since").isNull() | (F.col("days_since") >= every)).cast("int").alias("due"))
 
 
 def fingerprint(orders: DataFrame, date: Column) -> DataFrame:

@@ -47,26 +47,26 @@ def l2(t):
 
 
 def scores(df):
-    return df.select(F.col("event_type").alias("symbol"), "ts", ((F.col("value") - 50) / 25).alias("s"))
+    return df.select(F.col("event_type").alias("symbol"), "ts", "event_id", ((F.col("value") - 50) / 25).alias("s"))
 
 
 CFG = FactorConfig()
-L3 = """WITH RECURSIVE e AS (SELECT event_type AS symbol, epoch_us(ts) AS t, (value - 50) / 25 AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events),
+L3 = """WITH RECURSIVE e AS (SELECT event_type AS symbol, epoch_us(ts) AS t, event_id, (value - 50) / 25 AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
 st AS (SELECT symbol, 0::BIGINT AS i, 0 AS state FROM (SELECT DISTINCT symbol FROM e) UNION ALL SELECT e.symbol, e.i, CASE WHEN state = 0 THEN CASE WHEN s < -1.25 THEN 1 WHEN s > 1.25 THEN -1 ELSE 0 END
  WHEN state = 1 AND s > -0.5 THEN 0 WHEN state = -1 AND s < 0.75 THEN 0 ELSE state END FROM st JOIN e ON e.symbol = st.symbol AND e.i = st.i + 1)
-SELECT e.symbol, e.t, round(e.s, 6) AS s, CAST(state AS INTEGER) AS state FROM st JOIN e ON e.symbol = st.symbol AND e.i = st.i"""
+SELECT e.symbol, e.t, e.event_id, round(e.s, 6) AS s, CAST(state AS INTEGER) AS state FROM st JOIN e ON e.symbol = st.symbol AND e.i = st.i"""
 
 
 @query("l3_stateful_signal", L3 + " WHERE e.t <= ((SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000) * 1000")
 def l3(t):
     """Hysteresis states per event type from the stream, in time order."""
     out = S.run_to_table(S.hysteresis_stream(scores(stream(t)), CFG, "60 seconds"), "signal", shared_folder(t.spark, "signal"))
-    return out.select("symbol", "t", *rnd("s"), "state")
+    return out.select("symbol", "t", "event_id", *rnd("s"), "state")
 
 
 @query("l3_batch_twin", L3)
 def l3b(t):
-    return S.hysteresis_batch(scores(batch(t)), CFG).select("symbol", "t", *rnd("s"), "state")
+    return S.hysteresis_batch(scores(batch(t)), CFG).select("symbol", "t", "event_id", *rnd("s"), "state")
 
 
 @query("l4_stream_static_join", f"""WITH b AS ({L1}), d AS (SELECT event_type AS symbol, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type) SELECT date, b.symbol, close, mean_value FROM b LEFT JOIN d USING (symbol)""")

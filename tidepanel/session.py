@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,10 +54,33 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def collecting(paths: list[str]):
+    """Adds the folders that `materialise` writes meanwhile to `paths`, for `drop_tables` once nothing reads them."""
+    _COLLECTING.append(paths)
+    try:
+        yield
+    finally:
+        _COLLECTING.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders written by `materialise` and empties the list."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes `df` as Parquet to the shared folder, now, and returns the table read back: several branches then read
     it with column pruning, and a lost executor rereads files instead of recomputing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for kept in _COLLECTING:
+        kept.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -86,14 +86,14 @@ def idempotent_sink(path: str, key: str):
 
 # ------------------------------------------------------------------ stateful signal
 
-SIGNAL_OUT = "symbol string, t long, s double, state int"
-SIGNAL_STATE = "state int, last long, t array<long>, s array<double>"
+SIGNAL_OUT = "symbol string, t long, event_id long, s double, state int"
+SIGNAL_STATE = "state int, last long, t array<long>, id array<long>, s array<double>"
 
 
 def hysteresis_stream(scores: DataFrame, cfg: FactorConfig, late: str = "0 seconds") -> DataFrame:
-    """States of (symbol, ts, t, s) scores arriving in any order within the watermark.
+    """States of (symbol, ts, event_id, s) scores arriving in any order within the watermark.
 
-    Rows wait in the key's state until the watermark passes them, then fold in time order; what is buffered is bounded
+    Rows wait in the key's state until the watermark passes them, then fold in order of time and event id; what is buffered is bounded
     by the watermark delay. The last rows of a finished stream are emitted when the watermark passes them."""
     open_, long_out, short_out = cfg.s_open, cfg.s_close_long, cfg.s_close_short
 
@@ -107,22 +107,22 @@ def hysteresis_stream(scores: DataFrame, cfg: FactorConfig, late: str = "0 secon
         return state
 
     def fold(key, frames: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        state, last, ts, ss = st.get if st.exists else (0, -1, [], [])
-        rows = list(zip(ts, ss))
+        state, last, ts, ids, ss = st.get if st.exists else (0, -1, [], [], [])
+        rows = list(zip(ts, ids, ss))
         for f in frames:
-            rows += [(int(a), None if b != b else float(b)) for a, b in zip(f["us"], f["s"])]
+            rows += [(int(a), int(i), None if b != b else float(b)) for a, i, b in zip(f["us"], f["event_id"], f["s"])]
         mark = st.getCurrentWatermarkMs() * 1000
-        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: r[0])
-        rest = sorted((r for r in rows if r[0] > mark), key=lambda r: r[0])
+        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: r[:2])
+        rest = sorted((r for r in rows if r[0] > mark), key=lambda r: r[:2])
         out = []
-        for u, s in due:
+        for u, i, s in due:
             state = step(state, s)
-            out.append((key[0], u, s, state))
-        st.update((state, due[-1][0] if due else last, [r[0] for r in rest], [r[1] for r in rest]))
+            out.append((key[0], u, i, s, state))
+        st.update((state, due[-1][0] if due else last, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
         if rest:
             st.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
         if out:
-            yield pd.DataFrame(out, columns=["symbol", "t", "s", "state"])
+            yield pd.DataFrame(out, columns=["symbol", "t", "event_id", "s", "state"])
 
     s = scores.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return s.groupBy("symbol").applyInPandasWithState(fold, SIGNAL_OUT, SIGNAL_STATE, "append", "EventTimeTimeout")
@@ -136,7 +136,7 @@ def hysteresis_batch(scores: DataFrame, cfg: FactorConfig, block: str = "hour")
     start, and the blocks are folded once more. No task holds more than one block of scores, however hot the key."""
     move = lambda state, s: _next(state, s, F.lit(True), cfg).cast("int")
     blocks = cut_lineage(scores.withColumn("b", F.unix_micros(F.date_trunc(block, "ts"))).groupBy("symbol", "b").agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "s"))).alias("h")))
+        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id", "s"))).alias("h")))
     end = lambda start: F.aggregate("h", F.lit(start), lambda acc, v: move(acc, v["s"]))
     maps = blocks.select("symbol", "b", end(-1).alias("m"), end(0).alias("z"), end(1).alias("p"))
     chain = maps.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("b", "m", "z", "p"))).alias("c"))
@@ -150,7 +150,7 @@ def hysteresis_batch(scores: DataFrame, cfg: FactorConfig, block: str = "hour")
 
     def step(acc, v):
         st = move(acc["state"], v["s"])
-        return F.struct(st.alias("state"), F.concat(acc["out"], F.array(F.struct(v["t"].alias("t"), v["s"].alias("s"), st.alias("state")))).alias("out"))
+        return F.struct(st.alias("state"), F.concat(acc["out"], F.array(F.struct(v["t"].alias("t"), v["event_id"].alias("event_id"), v["s"].alias("s"), st.alias("state")))).alias("out"))
 
-    blank = F.struct(F.col("start").alias("state"), F.array().cast("array<struct<t:bigint,s:double,state:int>>").alias("out"))
-    return blocks.join(starts, ["symbol", "b"]).select("symbol", F.inline(F.aggregate("h", blank, step, lambda a: a["out"]))).select("symbol", "t", "s", "state")
+    blank = F.struct(F.col("start").alias("state"), F.array().cast("array<struct<t:bigint,event_id:bigint,s:double,state:int>>").alias("out"))
+    return blocks.join(starts, ["symbol", "b"]).select("symbol", F.inline(F.aggregate("h", blank, step, lambda a: a["out"]))).select("symbol", "t", "event_id", "s", "state")
