@@ -117,14 +117,16 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     dims = 3
     root: list[int] | None = None
     tree = {0: shards}                                   # first shard of each open node -> its number of shards
-    node = F.lit(0)
+    # what is written is read by key columns only; a level adds an expression, so rows are not written again
+    at = rows.withColumn("_node", F.lit(0))
     while total and max(tree.values()) > 1:
-        at = rows.withColumn("_node", node)
         spans = at.groupBy("_node").agg(F.sum("size").alias("w"), *[F.max(f"_d{i}") - F.min(f"_d{i}") for i in range(dims)]).collect()
         if root is None:
             root = [max(1, x) for x in spans[0][2:]]
         todo = [{"node": r["_node"], "want": r["w"] * (tree[r["_node"]] // 2) / tree[r["_node"]],
                  "dim": max(range(dims), key=lambda i: r[2 + i] / root[i])} for r in spans if tree[r["_node"]] > 1]
+        if not todo:
+            break
         cuts = _cut_nodes(at, todo, few)
         right = F.lit(0)
         for n in todo:
@@ -133,10 +135,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
             cut = F.struct(*[F.lit(x).cast("long").alias(a) for x, a in zip(c, "abcd")])
             right = F.when((F.col("_node") == n["node"]) & (k > cut), F.lit(tree[n["node"]] // 2)).otherwise(right)
         tree = {k: v for n, m in tree.items() for k, v in ([(n, m)] if m == 1 else [(n, m // 2), (n + m // 2, m - m // 2)])}
-        rows = materialise(at.withColumn("_shard", (F.col("_node") + right).cast("int")).drop("_node"), "shard-level")
-        node = F.col("_shard")
-    if "_shard" not in rows.columns:
-        rows = rows.withColumn("_shard", F.lit(0))
+        at = at.withColumn("_node", (F.col("_node") + right).cast("int"))
+    rows = at.withColumnRenamed("_node", "_shard")
     return number_slots(rows.select("_row", "size", "text_crc32", "_shard", "_crc", "_idn", "_h"), ["_crc", "_idn", "_h"]).select(
         "_row.*", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"))
