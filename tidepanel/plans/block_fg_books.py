@@ -24,11 +24,13 @@ def f1(t):
     return (P.weights_from_forecasts(t.scores(), ["model", "date"], 4, 4).select("model", "date", "symbol", "weight"))
 
 
-@query("f1_forecast_problems", sql("""SELECT date, CAST(0 AS BIGINT) AS duplicates, count(rev5) AS forecasts FROM score_cols WHERE x IS NOT NULL
-GROUP BY date HAVING count(rev5) < 24""", "score_cols"))
+@query("f1_forecast_problems", sql("""WITH s AS (SELECT date, symbol, rev5 FROM score_cols WHERE x IS NOT NULL), twice AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE symbol = 'Brand#7' AND day(date) <= 7),
+p AS (SELECT date, symbol, count(*) AS n, count(rev5) AS ok FROM twice GROUP BY ALL)
+SELECT date, count(*) FILTER (n > 1) AS duplicates, CAST(sum(ok) AS BIGINT) AS forecasts FROM p GROUP BY date HAVING count(*) FILTER (n > 1) > 0 OR sum(ok) < 24""", "score_cols"))
 def f1p(t):
-    """Dates whose forecasts cannot fill the book."""
+    """Dates whose forecasts cannot fill the book, or name a symbol twice: one symbol's are sent again in first weeks."""
     s = t.score_columns().select("date", "symbol", F.col("rev5").alias("score"))
+    s = s.unionByName(s.where((F.col("symbol") == "Brand#7") & (F.dayofmonth("date") <= 7)))
     return P.forecast_problems(s, ["date"], 24)
 
 
