@@ -103,8 +103,10 @@ def test_languages_held_out(spark):
 
 
 def test_without_a_letter_or_a_model(spark):
-    rows = identify(docs_of(spark, [None, "", "12 ?", "abc"]).drop("lang").selectExpr("*", "cast(null as string) lang")).collect()
+    rows = identify(docs_of(spark, [None, "", "12 ?", "abc", "²½"]).drop("lang").selectExpr("*", "cast(null as string) lang")).collect()
     assert {r["lang_pred"] for r in rows} == {"und"}
+    rows = identify(docs_of(spark, ["one two"] * 9 + ["x² ½", "²½ ①", "_ 7"])).collect()
+    assert [r["lang_pred"] for r in sorted(rows, key=lambda r: r["doc_id"])[9:]] == ["en", "und", "und"]
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------

@@ -73,4 +73,9 @@ def sql_lower(text: str) -> str:
     return f"translate({text}, '{UPPER}', '{LOWER}')"
 
 
-LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of the letter categories; superscript digits, fractions and the like are none."""
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text))

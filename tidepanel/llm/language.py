@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LETTER, map_text, without
+from .common import has_letter, map_text, without
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _OTHER = re.compile(r"[\W\d_]+")
@@ -101,7 +101,7 @@ def predict_languages(docs: DataFrame, model, orders: tuple[int, ...] = (1, 2, 3
             best, score = [], []
             for raw in texts:
                 t = raw.decode() if raw else ""
-                if not names or not LETTER.search(t):
+                if not names or not has_letter(t):
                     best.append("und")
                     score.append(0.0)
                     continue
