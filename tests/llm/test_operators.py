@@ -219,7 +219,7 @@ def _plain_spans(t):
 def test_base_spans(spark):
     rnd = random.Random(6)
     bits = ["a@b.c", "@", ".", "x_y", "é", " ", "-", "+", "1", "255.", "256.", "0010.", "4111 1111 1111 1111", "+1 (212) 555-0100", "𝒳", "a@b.c_d@e.f", "\n", "00", "%"]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(400)] + [None, "a" * 50_000, "1" * 50_000, "a@b" + ".c" * 20_000, "+1" + " " * 50_000]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(400)] + [None, "a" * 50_000, "1" * 50_000, "a@b" + ".c" * 20_000, "+1" + " " * 50_000, "a@b.c " * 20_000, "1.2.3.4 é" * 129]
     got = {r[0]: r[1] for r in find_personal_data(docs_of(spark, texts)).select("doc_id", listed("base")).collect()}
     assert {i: _plain_spans(t) for i, t in enumerate(texts)} == got
 

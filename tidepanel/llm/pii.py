@@ -43,19 +43,50 @@ KNOWN = {"email": r"(?i)(?:\.|dot[\])}] ?)(?:com|org|net|edu|gov|info|io|de|fr|e
 CUES = {"email": r"(?i)(?:e-?mail|contact|write|reach|correo|courriel)", "ip": r"(?i)(?:\bip\b|host|server|address|login|from)",
         "card": r"(?i)(?:card|visa|master|credit|pay|karte|carte|tarjeta)", "phone": r"(?i)(?:phone|tel|call|mobile|fax|ring)"}
 AGAINST = r"(?i)(?:version|order|invoice|isbn|serial|build|token|hash|sku|id)[ #:.=\"]*$"
-_SPAN = "array<struct<s:bigint,e:bigint,m:string>>"
+_SPAN = "array<struct<s:bigint,e:bigint,m:string,before:string,after:string>>"
+_BLOCK = 64                                       # matches that one inner fold lists
+_CONTEXT = 24                                     # characters before a match that are looked at
 
 
 def _find(text: Column, pattern: str, hint: str) -> Column:
-    """Matches of `pattern` with their places in code points, leftmost and without overlap."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-    walked = F.aggregate(pairs, start, lambda a, p: F.struct(
-        (a["at"] + p["g"] + F.length(p["m"])).cast("bigint").alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + p["g"]).cast("bigint").alias("s"), (a["at"] + p["g"] + F.length(p["m"])).cast("bigint").alias("e"),
-                                            p["m"].alias("m")))).alias("out")), lambda a: a["out"])
-    return F.when(text.rlike(hint), walked).otherwise(F.array().cast(_SPAN))
+    """Matches of `pattern` with their places in code points, leftmost and without overlap, what stands before each (its
+    gap and the match before that, at most 24 characters) and the character after it.
+
+    Lists are grown in blocks, and neighbours come from the gaps, so the work follows the length of the text."""
+    def walk(x):
+        gaps, found = x["gaps"], x["found"]
+        n = F.size(found)
+        ends = lambda a, b: F.substring(F.concat(a, b), 1, 1)
+        after = F.zip_with(F.slice(gaps, F.lit(2), n), F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), n), ends)
+        before = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(F.concat(F.array(F.lit("")), found), F.lit(1), n), lambda g, m: F.struct(
+            F.length(g).alias("g"), F.substring(F.concat(m, g), -_CONTEXT, _CONTEXT).alias("before")))
+        return F.zip_with(before, F.zip_with(found, after, lambda m, c: F.struct(m.alias("m"), c.alias("after"))), lambda a, b: F.struct(
+            a["g"].alias("g"), a["before"].alias("before"), b["m"].alias("m"), b["after"].alias("after")))
+
+    def one(a, p):
+        s = (a["at"] + p["g"]).cast("bigint")
+        e = (s + F.length(p["m"])).cast("bigint")
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(
+            s.alias("s"), e.alias("e"), p["m"].alias("m"), p["before"].alias("before"), p["after"].alias("after")))).alias("out"))
+
+    def place(pairs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / _BLOCK).cast("int")), lambda i: F.slice(pairs, i * _BLOCK + 1, F.lit(_BLOCK)))
+        start = lambda at: F.struct(at.cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+        whole = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+        def block(a, ps):
+            return _bind(F.aggregate(ps, start(a["at"]), one), lambda done: F.struct(
+                done["at"].alias("at"), F.concat(a["out"], F.array(done["out"])).alias("out")))
+
+        return F.aggregate(blocks, whole, block, lambda a: F.flatten(a["out"]))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(hint), _bind(_bind(parts, walk), place)).otherwise(F.array().cast(_SPAN))
+
+
+def _bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
 
 
 def _digits(m: Column) -> Column:
@@ -83,25 +114,24 @@ def _valid_in(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _beside(text: Column, at: Column) -> Column:
-    """Class of the character before (1-based place `at`): 0 edge or blank, 1 punctuation, 2 letter or digit."""
-    c = F.when(at >= 1, F.substring(text, at.cast("int"), F.lit(1))).otherwise(F.lit(""))
+def _class(c: Column) -> Column:
+    """0 edge or blank, 1 punctuation, 2 letter or digit."""
     return F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 2).otherwise(1)
 
 
-def _candidates(text: Column, kind: str, spans: Column, base: bool) -> Column:
+def _candidates(kind: str, spans: Column, base: bool) -> Column:
     """Spans with votes and features."""
     k = KINDS.index(kind)
     one = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
     def judge(x):
-        before = F.when(x["s"] > 0, F.substring(text, F.greatest(F.lit(1), x["s"] - 23).cast("int"), F.least(F.lit(24), x["s"]).cast("int"))).otherwise(F.lit(""))
+        before = x["before"]
         m, n = x["m"], F.length(x["m"])
         share = F.floor(F.length(_digits(m)) * 3 / n).cast("int")
         seps = F.length(F.regexp_replace(m, "[A-Za-z0-9]", ""))
         votes = (F.lit(1 if base else 0), one(m.rlike(KNOWN[kind]), F.lit(kind != "email") & ~m.rlike(KNOWN[kind])),
                  one(before.rlike(CUES[kind]), before.rlike(AGAINST)), one(seps.between(0, 6), seps > 10))
-        feats = (_beside(text, x["s"]), _beside(text, x["e"] + 1), F.least(F.lit(4), F.floor(n / 8).cast("int")), share, F.least(F.lit(3), seps.cast("int")))
+        feats = (_class(F.substring(before, -1, 1)), _class(x["after"]), F.least(F.lit(4), F.floor(n / 8).cast("int")), share, F.least(F.lit(3), seps.cast("int")))
         key = F.concat_ws(",", *[v.cast("string") for v in votes])
         return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), key.alias("votes"),
                         F.concat_ws(",", *[f.cast("string") for f in feats]).alias("feats"))
@@ -172,7 +202,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", least: float = 0.9,
     for k in KINDS:
         rows = rows.withColumn(f"_b_{k}", F.filter(_find(t, STRICT[k], HINT[k]), _valid_in(k)))
         rows = rows.withColumn(f"_l_{k}", _find(t, LOOSE[k], LOOSE_HINT[k]))
-    cand = F.concat(*[_candidates(t, k, F.col(f"_{which}_{k}"), which == "b") for which in "bl" for k in KINDS])
+    cand = F.concat(*[_candidates(k, F.col(f"_{which}_{k}"), which == "b") for which in "bl" for k in KINDS])
     rows = materialise(rows.select("_row", cand.alias("_c")), "pii-candidates")
     seen = rows.select(F.explode("_c").alias("c")).groupBy("c.k", "c.votes", "c.feats").agg(F.count(F.lit(1)).alias("n")).collect()
     odds, weights = train_classifier([tuple(r) for r in seen])
