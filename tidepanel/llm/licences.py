@@ -108,7 +108,9 @@ def scan_licences(docs: DataFrame, text: str = "text", known=None, rules=RULES)
     docs = without(docs, "sentence_ids", "licences", "unresolved", "_seq")
     table = F.create_map(*[F.lit(x) for i, ss in known.items() for s in ss for x in (s, i)])
     found = F.transform(F.filter(sentences(F.col(text)), lambda s: _any(s, HINTS)), lambda s: F.try_element_at(table, s))
-    ids = F.when(_any(lower_ascii(F.col(text)), HINTS + ("license",)), F.array_compact(found))
+    # a hint of two words can stand apart by any blanks or signs, as in a normalised sentence
+    plain = F.regexp_replace(lower_ascii(F.col(text)), "[^a-z0-9.]+", " ")
+    ids = F.when(_any(plain, HINTS), F.array_compact(found))
     docs = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
     docs = docs.withColumn("_seq", F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))))
     seq = F.col("_seq")
