@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chats import chats_sql, format_turn_rows, loss_texts, read_back
+from .collocations import collocations, collocations_sql
 from .common import sql_lower, sql_words, table
 from .decontaminate import contaminated, find_benchmark_words
 from .exact import exact_groups
@@ -18,6 +20,7 @@ from .pii import KINDS, count_kind, find_personal_data, listed
 from .sharding import kd_shards
 from .simhash import near_duplicates
 from .urls import judge_urls
+from .whitening import by_component, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +159,26 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     found = scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licences", "unresolved")])
+
+
+@query("op11_whiten_embeddings")
+def op11(spark, sf_dir):
+    return by_component(whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), carry=["vec_id"])).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op12_format_chats", chats_sql())
+def op12(spark, sf_dir):
+    said = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = format_turn_rows(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(said))
+    turns, loss = read_back(F.col("formatted")), F.concat_ws("", loss_texts(F.col("formatted"), F.col("loss")))
+    chats = chats.select("conv_id", turns.alias("turns"), loss.alias("under"), F.length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+                        F.length("under").cast("long").alias("loss_chars"), F.sha2(F.col("under"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op13_phrase_collocations", collocations_sql())
+def op13(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents", "lang", "text"))
