@@ -19,4 +19,4 @@ def test_sql_agrees(spark, con, name):
 
 def test_each_operator_has_one_query():
     import corpus_pipeline  # noqa: F401
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14)) and "pipeline" in QUERIES

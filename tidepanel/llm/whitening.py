@@ -132,13 +132,17 @@ def leading_vectors(diag: np.ndarray, off: np.ndarray, values: np.ndarray, near:
 
 def components(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit eigenvectors as columns) of the k leading components, falling."""
-    diag, off, reflectors = tridiagonal(cov)
+    size = float(np.abs(cov).max(initial=0))
+    if size == 0:
+        return np.zeros(k), np.eye(len(cov))[:, :k]
+    unit = 2.0 ** np.frexp(size)[1]         # a power of two, so that scaling is exact
+    diag, off, reflectors = tridiagonal(cov / unit)
     values = leading_values(diag, off, k)
     vectors = leading_vectors(diag, off, values)
     for r in range(len(reflectors) - 1, -1, -1):
         u = reflectors[r]
         vectors[r + 1:] -= 2 * np.outer(u, u @ vectors[r + 1:])
-    return values, vectors
+    return values * unit, vectors
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
