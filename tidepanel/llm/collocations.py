@@ -31,7 +31,7 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text that are counted at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 _COUNTS = "lang string, k int, phrase string, n long"
 
 
@@ -151,14 +151,17 @@ def _count(docs: DataFrame, most: int, levels: tuple[int, ...], new: np.ndarray
 
 def _hash_rows(b: pa.RecordBatch) -> np.ndarray:
     """Hashes of the rows (lang, phrase)."""
-    out = np.zeros(b.num_rows, np.uint64)
-    langs = b.column(0).cast(pa.binary()).to_pylist()
-    for i, phrase in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-        h = _word_hashes(langs[i], phrase.split(b" "))
-        x = h[:1]
-        for w in h[1:]:
-            x = _mix(x, np.array([w], np.uint64))
-        out[i] = x[0]
+    words = pc.split_pattern(b.column(1), " ")
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    seeds = {lang: xxhash.xxh64_intdigest(lang) & 0xFFFFFFFF for lang in pc.unique(b.column(0)).to_pylist()}
+    seed = np.repeat(np.array([seeds[lang] for lang in b.column(0).to_pylist()], np.int64), size).tolist()
+    h = xxhash.xxh64_intdigest
+    each = np.fromiter((h(w, s) for w, s in zip(words.flatten().cast(pa.binary()).to_pylist(), seed)), np.uint64, len(seed))
+    start = np.cumsum(size) - size
+    out = each[start]
+    for j in range(1, int(size.max(initial=0))):
+        more = size > j
+        out[more] = _mix(out[more], each[start[more] + j])
     return out
 
 
@@ -205,7 +208,7 @@ def _missed(counts: DataFrame, bits: np.ndarray) -> DataFrame:
 def count_frequent(docs: DataFrame, longest: int, least: int, share: float, seed: int, bitmap_bytes: int) -> DataFrame:
     """(lang, k, phrase, n): every phrase of 1 to `longest` words with n >= `least`, and k = 0 with the number of words."""
     bits = np.zeros(1 << (max(bitmap_bytes, 1 << 12).bit_length() - 1), np.uint8)
-    low = max(1, int(0.8 * share * least))
+    low = max(2, int(0.8 * share * least))      # a phrase seen once proposes nothing
     some = docs.sample(share, seed)
     for k in range(1, longest):         # the sample proposes, length by length
         seen = _count(some, k, (k,), bits if k > 1 else None)
@@ -227,7 +230,7 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most_row
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, top: int | None = 2000, covered: int = 50,
-                 share: float = 0.125, seed: int = 7, bitmap_bytes: int = 16 << 20, broadcast_rows: int = 500_000) -> DataFrame:
+                 share: float = 0.25, seed: int = 7, bitmap_bytes: int = 16 << 20, broadcast_rows: int = 500_000) -> DataFrame:
     """Per language: `lang`, `rank`, `phrase`, `a` (its occurrences), `l`, `r` (those of its two parts at the cut that
     scores least), `n` (all words) and `score` = floor(1000000 a a / (l r)).
 
