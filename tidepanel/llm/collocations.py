@@ -7,8 +7,8 @@ is a failure of the sample: it is added to the proposals, the border moves, and
 until no failure is left. Each pass of failures starts one word longer at least, so passes are at most the longest
 phrase's words.
 
-The proposals travel as a bitmap of fixed size, in which a phrase is found by its hash. A chance hit makes a pass count a
-phrase that nobody asked for, exactly; none is ever missed, and all counts belong to phrases as strings.
+The proposals of each length travel as a bitmap of bounded size, in which a phrase is found by its hash. A chance hit makes
+a pass count a phrase that nobody asked for, exactly; none is ever missed, and all counts belong to phrases as strings.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def _segment(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return words.indices.to_numpy().astype(np.int64), words.dictionary, piece
 
 
-def _count_piece(lang: bytes, texts: list[bytes], most: int, levels: tuple[int, ...], new: np.ndarray | None, old: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+def _count_piece(lang: bytes, texts: list[bytes], most: int, levels: tuple[int, ...], new: dict[int, np.ndarray], old: dict[int, np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, counts) for the lengths in `levels`, and (0, one empty phrase, number of words).
 
     Phrases of two and more words are counted if both shorter parts are in `new` and not both in `old`.
@@ -91,10 +92,10 @@ def _count_piece(lang: bytes, texts: list[bytes], most: int, levels: tuple[int,
     at, names, hashes = ids, words, wh
     here = np.arange(len(ids))
     for k in range(2, most + 1):
-        if new is None:
+        if k - 1 not in new:
             break
-        in_new = _found(new, hashes)
-        in_old = _found(old, hashes) if old is not None else np.zeros(len(hashes), bool)
+        in_new = _found(new[k - 1], hashes)
+        in_old = _found(old[k - 1], hashes) if old else np.zeros(len(hashes), bool)
         # a place goes on if the phrase there and the one a word later are both proposed, in one piece of text
         slot = np.full(len(ids), -1, np.int64)
         slot[here] = at
@@ -118,10 +119,8 @@ def _count_piece(lang: bytes, texts: list[bytes], most: int, levels: tuple[int,
         hashes = hashes_k
 
 
-def _count(docs: DataFrame, most: int, levels: tuple[int, ...], new: np.ndarray | None, old: np.ndarray | None = None) -> DataFrame:
-    """(lang, k, phrase, n) over all rows of `docs` (lang, text)."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((new, old))
+def _count(docs: DataFrame, most: int, levels: tuple[int, ...], shared: Broadcast) -> DataFrame:
+    """(lang, k, phrase, n) over all rows of `docs` (lang, text); `shared` holds the proposals and the earlier ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_, old_ = shared.value
@@ -194,33 +193,43 @@ def _bitmap(phrases: DataFrame, bits: np.ndarray, block: int = 1 << 12) -> np.nd
     return out.reshape(-1)
 
 
-def _missed(counts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows (lang, phrase) that the bitmap does not find."""
-    shared = counts.sparkSession.sparkContext.broadcast(bits)
-
+def _missed(counts: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (lang, k, phrase) that the bitmaps of their lengths do not find."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value[0]
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(~_found(shared.value, _hash_rows(b))))
-    return counts.select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
+                h, k = _hash_rows(b.select(["lang", "phrase"])), b.column("k").to_numpy()
+                out = np.zeros(len(h), bool)
+                for one in np.unique(k).tolist():
+                    out[k == one] = ~_found(bits[one], h[k == one])
+                yield b.filter(pa.array(out))
+    return counts.select("lang", "k", "phrase").mapInArrow(run, "lang string, k int, phrase string")
 
 
 def count_frequent(docs: DataFrame, longest: int, least: int, share: float, seed: int, bitmap_bytes: int) -> DataFrame:
     """(lang, k, phrase, n): every phrase of 1 to `longest` words with n >= `least`, and k = 0 with the number of words."""
-    bits = np.zeros(1 << (max(bitmap_bytes, 1 << 12).bit_length() - 1), np.uint8)
+    send = docs.sparkSession.sparkContext.broadcast
     low = max(2, int(0.8 * share * least))      # a phrase seen once proposes nothing
     some = docs.sample(share, seed)
+    bits: dict[int, np.ndarray] = {}
     for k in range(1, longest):         # the sample proposes, length by length
-        seen = _count(some, k, (k,), bits if k > 1 else None)
-        bits = _bitmap(seen.where(F.col("n") >= low), bits)
-    done = materialise(_count(docs, longest, tuple(range(longest + 1)), bits).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-counted")
-    fresh = done
+        shared = send((bits, {}))
+        seen = materialise(_count(some, k, (k,), shared).where(F.col("n") >= low), "phrases-proposed")
+        shared.unpersist()
+        size = min(bitmap_bytes, max(1 << 12, 2 * seen.count()))        # 16 bits a phrase
+        bits = bits | {k: _bitmap(seen, np.zeros(1 << (size - 1).bit_length() if size < bitmap_bytes else 1 << (size.bit_length() - 1), np.uint8))}
+    shared = send((bits, {}))
+    done = fresh = materialise(_count(docs, longest, tuple(range(longest + 1)), shared).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-counted")
     while longest > 1:
-        failed = materialise(_missed(fresh.where((F.col("k") > 0) & (F.col("k") < longest)), bits), "phrases-failed")
-        if failed.isEmpty():
-            return done
-        wider = _bitmap(failed, bits)
-        fresh = materialise(_count(docs, longest, tuple(range(2, longest + 1)), wider, bits).where(F.col("n") >= least), "phrases-counted")
+        failed = materialise(_missed(fresh.where((F.col("k") > 0) & (F.col("k") < longest)), shared), "phrases-failed")
+        shared.unpersist()
+        lengths = [r["k"] for r in failed.select("k").distinct().collect()]
+        if not lengths:
+            break
+        wider = bits | {k: _bitmap(failed.where(F.col("k") == k), bits[k]) for k in lengths}
+        shared = send((wider, bits))
+        fresh = materialise(_count(docs, longest, tuple(range(2, longest + 1)), shared).where(F.col("n") >= least), "phrases-counted")
         done, bits = done.unionByName(fresh), wider
     return done
 
@@ -239,7 +248,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     least `covered` percent of their occurrences are dropped; the first `top` of each language are kept (None: all). Null texts are
     empty, a null language is `und`, repeated rows count each time, other columns are ignored; an empty table, or one
     without frequent phrases, gives no rows. All counts cover all rows: `share` only sets which phrases are proposed.
-    `bitmap_bytes` bounds what is broadcast; when the proposals outgrow it, more phrases are counted than needed and
+    `bitmap_bytes` bounds what is broadcast for each length; when the proposals outgrow it, more phrases are counted than needed and
     results stay the same. Frequent phrases are broadcast up to `broadcast_rows` rows (and 32 MiB), counted first.
     """
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
