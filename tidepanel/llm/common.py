@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +40,38 @@ def small_side(df: DataFrame, max_rows: int, wide: str | None = None, max_bytes:
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
+def beside_text(docs: DataFrame, text: str = "text", out: str = "_row") -> Column:
+    """The columns of `docs` other than its text as one struct: a text then goes to Python once, not twice."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias(out)
+
+
+def with_text(names: list[str], text: str = "text", kept: str = "text", row: str = "_row") -> list[Column]:
+    """The columns `names` again, from `beside_text`'s struct and the text in the column `kept`."""
+    return [(F.col(kept) if c == text else F.col(row)[c]).alias(c) for c in names]
+
+
+#: Bytes of text that `map_text` hands over at once.
+PIECE = 4 << 20
+
+
+def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, rows) of stretches of rows with about PIECE bytes each."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > PIECE:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def map_text(df: DataFrame, new: T.StructType, work: Callable[[], Callable[[list[bytes | None]], dict[str, list | pa.Array]]],
              text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds the columns `new`, which `work()` computes from batches of UTF-8 texts; columns of those names are replaced.
 
-    `work` runs once a task (it builds tables there) and returns the function that handles batches. Spark bounds a
-    batch by rows and bytes, so memory does not depend on the partition's size.
+    `work` runs once a task (it builds tables there) and returns the function that handles texts. A batch, which Spark
+    bounds by rows and bytes, is handed over and sent on in pieces, so memory does not depend on the partition's size.
     """
     df = without(df, *new.fieldNames())
     keep = [f for f in df.schema.fields if keep_text or f.name != text]
@@ -55,7 +82,8 @@ def map_text(df: DataFrame, new: T.StructType, work: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = work()
-        for b in batches:
+        for b, first, n in ((b, *cut) for b in batches for cut in _cuts(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_pylist())):
+            b = b.slice(first, n)
             got = handle(b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist())
             cols = [b.column(b.schema.get_field_index(n)) for n in names]
             cols += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in kinds]

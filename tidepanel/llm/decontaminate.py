@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .common import map_text, without
+from .common import beside_text, map_text, with_text, without
 
 #: Bytes that are words: digits, letters and everything outside ASCII; capitals fold, all else is a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -180,6 +180,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     """The documents that are not contaminated, with their own columns."""
     names = docs.columns
     # the found columns get names of their own here: the documents' columns stay whatever they are called
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    kept = find_benchmark_words(tagged, benchmark, window, keep_text=False).where(~contaminated(one_in))
-    return kept.select("_row.*")
+    kept = find_benchmark_words(docs.select(beside_text(docs), "text"), benchmark, window).where(~contaminated(one_in))
+    return kept.select(*with_text(names))

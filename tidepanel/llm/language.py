@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import has_letter, map_text, without
+from .common import beside_text, has_letter, map_text, with_text, without
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _OTHER = re.compile(r"[\W\d_]+")
@@ -134,5 +134,5 @@ def identify(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with at least this probability, with their own columns."""
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "lang")
-    return identify(tagged, keep_text=False).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    tagged = docs.select(beside_text(docs), "doc_id", "text", "lang")
+    return identify(tagged).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*with_text(docs.columns))
