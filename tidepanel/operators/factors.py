@@ -1,7 +1,7 @@
 """Factor residuals, mean-reversion fits, trade states and the stateful hedged book.
 
-The one-factor fit works on window arrays: no window is ever exploded into rows. States fold over one symbol's history,
-whose length is bounded by the calendar. The eigenportfolio fit (see `eigen`) never forms a stock-by-stock matrix.
+The one-factor fit works on window arrays: no window is ever exploded into rows. Trade states are a scan that is parallel
+inside a symbol. The eigenportfolio fit (see `eigen`) never forms a stock-by-stock matrix.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ratio, span
+from ..functions.statescan import scan_states
 from ..session import cut_lineage
 
 TRADING_DAYS = 252
@@ -151,23 +152,12 @@ def _next(state: Column, s: Column, ok: Column, cfg: FactorConfig) -> Column:
 
 
 def trade_states(scored: DataFrame, days: DataFrame, cfg: FactorConfig, key=("symbol",)) -> DataFrame:
-    """(key, t, state): the open/close rule folded along each symbol's days. `days` (t) lists the days the strategy looks
-    at; a day without a score closes the trade. Native fold: one array per symbol, bounded by the calendar.
-
-    Only days on which the state can change need folding, so runs of unscored days are one entry."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("s"), F.col("eligible").alias("ok"), F.col("i"))))
-    d = days.withColumn("i", F.row_number().over(Window.orderBy("t")))
-    h = scored.join(F.broadcast(d), "t").groupBy(*key).agg(seq.alias("h"))
-    blank = F.struct(F.lit(0).alias("i"), F.lit(0).alias("state"), F.array().cast("array<struct<t:int,i:int,state:int>>").alias("out"))
-
-    def step(acc, v):
-        before = F.when(v["i"] == acc["i"] + 1, acc["state"]).otherwise(F.lit(0))
-        st = _next(before, v["s"], v["ok"], cfg).cast("int")
-        return F.struct(v["i"].cast("int").alias("i"), st.alias("state"), F.concat(acc["out"], F.array(F.struct(
-            v["t"].cast("int").alias("t"), v["i"].cast("int").alias("i"), st.alias("state")))).alias("out"))
-
-    folded = h.select(*key, F.explode(F.aggregate("h", blank, step, lambda acc: acc["out"])).alias("o"))
-    return folded.select(*key, "o.t", "o.i", "o.state")
+    """(key, t, i, state): the open/close rule along each symbol's days. `days` (t) lists the days the strategy looks at; a
+    day without a score closes the trade. The days' running number `i` shows gaps; see `statescan` for how it is spread."""
+    d = days.select("t").distinct().withColumn("i", F.row_number().over(Window.orderBy("t")))
+    h = scored.join(F.broadcast(d), "t").select(*key, F.col("t").cast("int").alias("t"), "i", "s", F.col("eligible").alias("ok"))
+    rule = lambda before: _next(before, F.col("s"), F.col("ok"), cfg)
+    return scan_states(h, key, ("i",), rule, "i").select(*key, "t", "i", "state")
 
 
 # --------------------------------------------------------------------- books

@@ -24,6 +24,7 @@ from ..functions.crosssection import wide_rank
 from ..session import cut_lineage
 from . import evaluate as E
 from .splits import key_hash
+from .window_models import date_ranges, linear_score, logit_column, logit_windows
 
 #: Model names and, in `classifier`, the published sizes of both presets.
 MODEL_NAMES = ("logit", "forest", "boosting", "mlp")
@@ -103,17 +104,22 @@ def walk_forward(panel: DataFrame, periods: DataFrame, names: Sequence[str], mod
     rows = periods.orderBy("period").collect()          # one short row per study period
     d = F.col("date")
 
+    logits = {}
+    if "logit" in models:       # all periods at once
+        spans = periods.select(F.col("period").alias("key"), F.col("train_start").alias("lo"), F.col("train_end").alias("hi"))
+        logits = {f["key"]: f for f in logit_windows(panel, spans, names, "y")}
+
     def fit(p):
-        """All models of one period on the same training rows."""
+        """The other models of one period on the same training rows."""
         train = panel.where(d.between(F.lit(p["train_start"]), F.lit(p["train_end"])) & F.col("y").isNotNull())
-        n = train.count()
-        return [classifier(m, names, n, preset, seed).fit(train) for m in models]
+        return {m: classifier(m, names, 0, preset, seed).fit(train) for m in models if m != "logit"}
 
     def trade(p, fitted):
         """The period's models applied one after another to its trading rows: no joins between their forecasts."""
         out = panel.where(d.between(F.lit(p["trade_start"]), F.lit(p["trade_end"])))
-        for name, m in zip(models, fitted):
-            out = m.transform(out).select(*[c for c in out.columns], prob_up().alias(name))
+        for name in models:
+            out = (out.withColumn(name, logit_column(names, logits[p["period"]])) if name == "logit"
+                   else fitted[name].transform(out).select(*[c for c in out.columns], prob_up().alias(name)))
         return out.select("date", "symbol", *models, F.lit(p["period"]).alias("period"))
 
     fits = together([lambda p=p: fit(p) for p in rows], threads)
@@ -144,6 +150,13 @@ def seed_average(models: Sequence[PipelineModel], df: DataFrame, keep: Sequence[
 def cv_scores(rows: DataFrame, folds: DataFrame, names: Sequence[str], k: int, model: str = "logit") -> DataFrame:
     """AUC and accuracy of a fresh model per fold; roles come from a (fold, date, role) table."""
     rows = cut_lineage(rows)
+    if model == "logit":        # all folds at once
+        days = rows.select("date").distinct()
+        fits = logit_windows(rows, date_ranges(folds.where("role = 'train'"), "fold", days), names, "y")
+        test = rows.join(F.broadcast(folds.where("role = 'test'").select("fold", "date")), "date")
+        models = rows.sparkSession.createDataFrame([(f["key"], f["intercept"], f["coef"]) for f in fits], "fold int, intercept double, coef array<double>")
+        p = 1 / (1 + F.exp(-linear_score(names, F.col("intercept"), F.col("coef"))))
+        return E.auc_accuracy(test.join(F.broadcast(models), "fold").select("fold", "date", "symbol", "y", p.alias("p")), "fold", "p", "y", 0.5)
 
     def one(f):
         r = rows.join(F.broadcast(folds.where(F.col("fold") == f)), "date")

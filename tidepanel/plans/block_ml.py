@@ -10,16 +10,18 @@ from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import ml as M
 from ..operators import splits as S
+from ..operators import window_models as W
 from ..session import cut_lineage
 from ..sources import bars as B
 from ..sources.sinks import shared_folder
 from .block_b_features import NAMES, WLAGS
 from .block_c_labels import dataset
-from .block_d_splits import TEST_START, TRAIN_END
-from .block_e_evaluate import rnd
+from .block_d_splits import PERIODS, TEST_START, TRAIN_END
+from .block_e_evaluate import avg_rank_sql, rnd
 from .block_h_factors import meta_rows, trades_of
 from .block_i_charts import D, market
 from .registry import ORACLES, query
+from .sqltext import sql
 
 RN = [f"R{m}" for m in WLAGS]
 PANEL_TRAIN_END, PANEL_TEST_START = "2000-10-02", "2000-11-06"        # the panel starts when its longest lag is known
@@ -40,13 +42,60 @@ def fitted_scores(t, fits):
     return out
 
 
-@query("e2_linear_scores")
+def ridge_sql(rows: str, names, label: str, alpha: float = 1.0) -> str:
+    """CTEs: ridge fits by the normal equations of `rows` (key, names, label), solved by elimination: `coefs` (key, c, b0)."""
+    k = len(names)
+    sums = ", ".join(f"avg({c})" for c in (*names, label))
+    return f"""mean AS (SELECT key, count(*) AS n, [{sums}] AS mu FROM {rows} GROUP BY key),
+dev AS (SELECT r.key, [{", ".join(f"{c} - mu[{i}]" for i, c in enumerate((*names, label), 1))}] AS d FROM {rows} r JOIN mean USING (key)),
+prod AS (SELECT key, i, j, sum(d[i] * d[j]) AS v FROM dev, (SELECT unnest(range(1, {k + 2})) AS i), (SELECT unnest(range(1, {k + 2})) AS j) GROUP BY ALL),
+sd AS (SELECT key, list(sqrt(v / n) ORDER BY i) AS s FROM prod JOIN mean USING (key) WHERE i = j GROUP BY key),
+line AS (SELECT key, i, list(CASE WHEN j > {k} THEN v / s[i] ELSE v / (s[i] * s[j]) + CASE WHEN i = j THEN {alpha}::DOUBLE ELSE 0 END END ORDER BY j) AS a
+ FROM prod JOIN sd USING (key) WHERE i <= {k} GROUP BY key, i),
+gauss AS (SELECT key, 0 AS p, list(a ORDER BY i) AS m FROM line GROUP BY key UNION ALL
+ SELECT key, p + 1, [[CASE WHEN i = p + 1 THEN m[p + 1][j] / m[p + 1][p + 1] ELSE m[i][j] - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END
+  for j in range(1, {k + 2})] for i in range(1, {k + 1})] FROM gauss WHERE p < {k}),
+coefs AS (SELECT key, [m[i][{k + 1}] / s[i] for i in range(1, {k + 1})] AS c, mu[{k + 1}] - list_sum([m[i][{k + 1}] / s[i] * mu[i] for i in range(1, {k + 1})]) AS b0
+ FROM gauss JOIN sd USING (key) JOIN mean USING (key) WHERE p = {k})"""
+
+
+def fit_sql(names) -> str:
+    return "b0 + " + " + ".join(f"c[{i}] * {n}" for i, n in enumerate(names, 1))
+
+
+def recursive(query_: str) -> str:
+    return "WITH RECURSIVE " + query_.lstrip().removeprefix("WITH ")
+
+
+@query("e2_linear_scores", recursive(sql(f"""WITH tr AS (SELECT 1 AS key, * FROM dataset WHERE date <= DATE '{TRAIN_END}'),
+{ridge_sql('tr', NAMES, 'target')},
+sc AS (SELECT date, symbol, target AS y, {fit_sql(NAMES)} AS p FROM dataset, coefs WHERE date >= DATE '{TEST_START}'),
+rk AS (SELECT *, {avg_rank_sql('p', '')} AS rp, {avg_rank_sql('y', '')} AS ry FROM sc)
+SELECT 'linear' AS model, round(avg((y - p) * (y - p)), 6) AS mse, round(1 - avg((y - p) * (y - p)) / avg(y * y), 6) AS r2_vs_zero, round(corr(rp, ry), 6) AS ic,
+ round(avg(CASE WHEN y <> 0 THEN CAST(sign(p) = sign(y) AS INTEGER) END), 6) AS hit_rate, count(*) AS rows FROM rk""", "dataset")))
 def e2(t):
-    """Ridge regression on the training side, scored on the test side."""
-    p = fitted_scores(t, {"linear": lambda d: M.fit_linear(d, NAMES)})
+    """Ridge regression on the training side, from sums by date, scored on the test side."""
+    s = cut_lineage(split(t.keep_panel()))
+    sides = s.groupBy("split").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).withColumn("key", F.lit(1))
+    fits = W.ridge_windows(s, sides.where("split = 'train'"), NAMES, "target")
+    p = W.apply_windows(s.where("split = 'test'"), fits, sides.where("split = 'test'"), NAMES, "p", ("date", "symbol", "target"))
+    p = cut_lineage(p.withColumn("model", F.lit("linear")))
     return E.score_table(p, "model", "p", "target").select("model", *rnd("mse", "r2_vs_zero", "ic", "hit_rate"), "rows")
 
 
+@query("e5_ridge_walk_forward", recursive(sql(f"""WITH {PERIODS},
+tr AS (SELECT period AS key, dataset.* FROM dataset JOIN periods ON date BETWEEN train_start AND train_end),
+{ridge_sql('tr', NAMES, 'target')}
+SELECT period, date, symbol, round({fit_sql(NAMES)}, 6) AS forecast FROM dataset JOIN periods ON date BETWEEN trade_start AND trade_end JOIN coefs ON key = period""", "dataset")))
+def e5_ridge(t):
+    """Ridge forecasts of every study period, all periods fitted from one pass of sums by date."""
+    ds = cut_lineage(dataset(t.keep_panel()))
+    p = cut_lineage(S.study_periods(ds, 150, 50).withColumnRenamed("period", "key"))
+    fits = W.ridge_windows(ds, p.select("key", F.col("train_start").alias("lo"), F.col("train_end").alias("hi")), NAMES, "target")
+    out = W.apply_windows(ds, fits, p.select("key", F.col("trade_start").alias("lo"), F.col("trade_end").alias("hi")), NAMES, "forecast", ("date", "symbol"))
+    return out.select(F.col("key").alias("period"), "date", "symbol", *rnd("forecast"))
+
+
 @query("e3_forest_scores")
 def e3(t):
     p = fitted_scores(t, {"forest": lambda d: M.fit_forest(d, NAMES, trees=200, depth=6, leaf=50)})

@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.statescan import scan_states
 from ..operators.factors import FactorConfig, _next
-from ..session import cut_lineage
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
                              T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -128,29 +128,8 @@ def hysteresis_stream(scores: DataFrame, cfg: FactorConfig, late: str = "0 secon
     return s.groupBy("symbol").applyInPandasWithState(fold, SIGNAL_OUT, SIGNAL_STATE, "append", "EventTimeTimeout")
 
 
-def hysteresis_batch(scores: DataFrame, cfg: FactorConfig, block: str = "hour") -> DataFrame:
-    """The same states in batch, in parallel inside a key.
-
-    One score maps each of the three states to a state, and such maps compose. So a key's history is cut into time
-    blocks; each block is folded from all three possible starts, the short list of block maps gives every block its true
-    start, and the blocks are folded once more. No task holds more than one block of scores, however hot the key."""
-    move = lambda state, s: _next(state, s, F.lit(True), cfg).cast("int")
-    blocks = cut_lineage(scores.withColumn("b", F.unix_micros(F.date_trunc(block, "ts"))).groupBy("symbol", "b").agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id", "s"))).alias("h")))
-    end = lambda start: F.aggregate("h", F.lit(start), lambda acc, v: move(acc, v["s"]))
-    maps = blocks.select("symbol", "b", end(-1).alias("m"), end(0).alias("z"), end(1).alias("p"))
-    chain = maps.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("b", "m", "z", "p"))).alias("c"))
-    first = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<b:bigint,start:int>>").alias("out"))
-
-    def link(acc, v):
-        nxt = F.when(acc["state"] == -1, v["m"]).when(acc["state"] == 1, v["p"]).otherwise(v["z"])
-        return F.struct(nxt.alias("state"), F.concat(acc["out"], F.array(F.struct(v["b"].alias("b"), acc["state"].alias("start")))).alias("out"))
-
-    starts = chain.select("symbol", F.inline(F.aggregate("c", first, link, lambda a: a["out"])))
-
-    def step(acc, v):
-        st = move(acc["state"], v["s"])
-        return F.struct(st.alias("state"), F.concat(acc["out"], F.array(F.struct(v["t"].alias("t"), v["event_id"].alias("event_id"), v["s"].alias("s"), st.alias("state")))).alias("out"))
-
-    blank = F.struct(F.col("start").alias("state"), F.array().cast("array<struct<t:bigint,event_id:bigint,s:double,state:int>>").alias("out"))
-    return blocks.join(starts, ["symbol", "b"]).select("symbol", F.inline(F.aggregate("h", blank, step, lambda a: a["out"]))).select("symbol", "t", "event_id", "s", "state")
+def hysteresis_batch(scores: DataFrame, cfg: FactorConfig) -> DataFrame:
+    """The same states in batch, in order of time and event id, in parallel inside a key (see `statescan`)."""
+    rows = scores.select("symbol", F.unix_micros("ts").alias("t"), "event_id", "s")
+    rule = lambda before: _next(before, F.when(~F.isnan("s"), F.col("s")), F.lit(True), cfg)
+    return scan_states(rows, ("symbol",), ("t", "event_id"), rule).select("symbol", "t", "event_id", "s", "state")
