@@ -1,19 +1,18 @@
 """Phrase collocations by Toivonen's sampling.
 
 A sample of the documents proposes phrases: at each length those that reach a lowered count among phrases whose two
-one-word-shorter parts were proposed. A full pass then counts, exactly, every phrase whose two shorter parts are
-proposed: the proposed ones and their negative border, the phrases just outside. A border phrase that turns out frequent
-is a failure of the sample: it is added to the proposals, the border moves, and another full pass counts what is new,
-until no failure is left. Each pass of failures starts one word longer at least, so passes are at most the longest
-phrase's words.
-
-The proposals of each length travel as a bitmap of bounded size, in which a phrase is found by its hash. A chance hit makes
-a pass count a phrase that nobody asked for, exactly; none is ever missed, and all counts belong to phrases as strings.
+one-word-shorter parts were proposed. A full pass then counts every phrase whose two shorter parts are proposed: the
+proposed ones and their negative border, the phrases just outside. A border phrase that turns out frequent is a failure
+of the sample: it is added to the proposals, which moves the border, and another full pass counts what is new. That pass
+follows the border as it moves: longer phrases around what it counts anew are counted too, so it leaves nothing open.
+
+Until then phrases are hashes, whose counts are never below the true ones, and proposals travel as bitmaps of bounded
+size, whose chance hits only make a pass count more. A last pass counts the phrases found frequent as strings, exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,104 +74,109 @@ def _segment(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return words.indices.to_numpy().astype(np.int64), words.dictionary, piece
 
 
-def _count_piece(lang: bytes, texts: list[bytes], most: int, levels: tuple[int, ...], new: dict[int, np.ndarray], old: dict[int, np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(k, phrases, counts) for the lengths in `levels`, and (0, one empty phrase, number of words).
-
-    Phrases of two and more words are counted if both shorter parts are in `new` and not both in `old`.
-    """
+def _walk(lang: bytes, texts: list[bytes], most: int, goes: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """(k, ids, words, places, hashes, fresh) for lengths from 1 on: the places where a phrase of k words starts, inside a
+    piece, whose two shorter parts `goes` lets pass. `goes(k, hashes, fresh)` says which phrases of k words may grow, and
+    leaves in `fresh` which count anew; a phrase is fresh if one of its parts is."""
     ids, words, piece = _segment(texts)
     if not len(ids):
         return
-    if 0 in levels:
-        yield 0, pa.array([b""], pa.large_binary()), np.array([len(ids)])
-    if 1 in levels:
-        yield 1, words, np.bincount(ids, minlength=len(words))
-    wh = _word_hashes(lang, words.to_pylist())
-    # per place: number of the phrase that starts there (-1: none), the distinct phrases, their hashes and what is proposed
-    at, names, hashes = ids, words, wh
-    here = np.arange(len(ids))
-    for k in range(2, most + 1):
-        if k - 1 not in new:
-            break
-        in_new = _found(new[k - 1], hashes)
-        in_old = _found(old[k - 1], hashes) if old else np.zeros(len(hashes), bool)
-        # a place goes on if the phrase there and the one a word later are both proposed, in one piece of text
-        slot = np.full(len(ids), -1, np.int64)
-        slot[here] = at
-        nxt = np.append(slot[1:], -1)
-        last = np.minimum(here + k - 1, len(ids) - 1)
-        ok = in_new[at] & (here + k - 1 < len(ids)) & (nxt[here] >= 0) & (piece[last] == piece[here])
-        ok[ok] = in_new[nxt[here[ok]]]
-        here, at_a, at_b = here[ok], at[ok], nxt[here[ok]]
+    n, wh = len(ids), _word_hashes(lang, words.to_pylist())
+    here, hashes, fresh = np.arange(n), wh[ids], np.zeros(n, bool)
+    for k in range(1, most + 1):
+        yield k, ids, words, here, hashes, fresh
+        if k == most:
+            return
+        grow, known = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        grow[here], old = goes(k, hashes, fresh)
+        known[here] = old
+        ok = grow[here] & grow[here + 1] & (here + k < n)
+        ok[ok] = piece[here[ok] + k] == piece[here[ok]]
+        here, hashes = here[ok], hashes[ok]
         if not len(here):
-            break
-        key = at_a * len(words) + ids[here + k - 1]
-        distinct, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        tail = distinct % len(words)
-        hashes_k = _mix(hashes[distinct // len(words)], wh[tail])
-        names = pc.binary_join_element_wise(names.take(pa.array(distinct // len(words))), words.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
-        if k in levels:
-            known = in_old[at_a[first]] & in_old[at_b[first]]
-            put = np.flatnonzero(~known)
-            if len(put):
-                yield k, names.take(pa.array(put)), n[put]
-        hashes = hashes_k
-
-
-def _count(docs: DataFrame, most: int, levels: tuple[int, ...], shared: Broadcast) -> DataFrame:
-    """(lang, k, phrase, n) over all rows of `docs` (lang, text); `shared` holds the proposals and the earlier ones."""
-
+            return
+        fresh = ~(known[here] & known[here + 1])
+        hashes = _mix(hashes, wh[ids[here + k]])
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Texts of one language each, some PIECE bytes at once."""
+    for b in batches:
+        by_lang: dict[bytes, list[int]] = {}
+        for i, lang in enumerate(b.column(0).cast(pa.binary()).to_pylist()):
+            by_lang.setdefault(lang, []).append(i)
+        texts = b.column(1)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for lang, rows in by_lang.items():
+            part, size = [], 0
+            for at, i in enumerate(rows):
+                part.append(i)
+                size += sizes[i]
+                if size >= PIECE or at == len(rows) - 1:
+                    yield lang, [t for t in texts.take(pa.array(part)).cast(pa.binary()).to_pylist() if t]
+                    part, size = [], 0
+
+
+def _hashed(docs: DataFrame, most: int, levels: tuple[int, ...], shared: Broadcast) -> DataFrame:
+    """(k, h, n): counts by hash over all rows of `docs` (lang, text) of the phrases of `levels` words that may grow out of
+    the proposals `new`; with earlier proposals `old`, of those only that did not grow out of these."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new_, old_ = shared.value
-        for b in batches:
-            by_lang: dict[bytes, list[int]] = {}
-            for i, lang in enumerate(b.column(0).cast(pa.binary()).to_pylist()):
-                by_lang.setdefault(lang, []).append(i)
-            texts = b.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for lang, rows in by_lang.items():
-                part, size = [], 0
-                for at, i in enumerate(rows):
-                    part.append(i)
-                    size += sizes[i]
-                    if size >= PIECE or at == len(rows) - 1:
-                        some = [t for t in texts.take(pa.array(part)).cast(pa.binary()).to_pylist() if t]
-                        for k, phrases, n in _count_piece(lang, some, most, levels, new_, old_):
-                            m = len(phrases)
-                            for j in range(0, m, 1 << 17):
-                                part_ = phrases.slice(j, 1 << 17).cast(pa.binary()).cast(pa.string())
-                                yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(part_), pa.string()), pa.array(np.full(len(part_), k), pa.int32()), part_,
-                                                                  pa.array(n[j:j + (1 << 17)].astype(np.int64))], ["lang", "k", "phrase", "n"])
-                        part, size = [], 0
-
+        new, old = shared.value
+
+        def goes(k, h, fresh):
+            if k not in new:
+                return np.zeros(len(h), bool), np.zeros(len(h), bool)
+            return (_found(new[k], h) | fresh, _found(old[k], h) & ~fresh) if old else (_found(new[k], h), np.zeros(len(h), bool))
+        for lang, texts in _by_lang(batches):
+            for k, _, _, _, h, fresh in _walk(lang, texts, most, goes):
+                if k in levels:
+                    h, n = np.unique(h[fresh] if old else h, return_counts=True)
+                    for i in range(0, len(h), 1 << 17):
+                        part = h[i:i + (1 << 17)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part), pa.array(n[i:i + (1 << 17)])], ["k", "h", "n"])
+    return docs.select("lang", "text").mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+
+
+def _exact(docs: DataFrame, most: int, shared: Broadcast) -> DataFrame:
+    """(lang, k, phrase, n) of the phrases whose hashes, and those of all their parts, are in the bitmaps; k = 0: all words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def goes(k, h, fresh):
+            return (_found(bits[k], h) if k in bits else np.zeros(len(h), bool)), fresh
+        for lang, texts in _by_lang(batches):
+            for k, ids, words, here, h, _ in _walk(lang, texts, most, goes):
+                if k == 1:
+                    yield _rows(lang, 0, pa.array([b""], pa.large_binary()), np.array([len(ids)]))
+                here = here[_found(bits[k], h)] if k in bits else here[:0]
+                if not len(here):
+                    continue
+                cols = [ids[here + j] for j in range(k)]
+                key = cols[0]
+                for j, c in enumerate(cols[1:], 2):
+                    if len(words) ** j >= 1 << 62:      # renumber what would not fit
+                        key = np.unique(key, return_inverse=True)[1]
+                    key = key * len(words) + c
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                names = [words.take(pa.array(c[first])) for c in cols]
+                yield _rows(lang, k, pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())) if k > 1 else names[0], n)
     return docs.select("lang", "text").mapInArrow(run, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _hash_rows(b: pa.RecordBatch) -> np.ndarray:
-    """Hashes of the rows (lang, phrase)."""
-    words = pc.split_pattern(b.column(1), " ")
-    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    seeds = {lang: xxhash.xxh64_intdigest(lang) & 0xFFFFFFFF for lang in pc.unique(b.column(0)).to_pylist()}
-    seed = np.repeat(np.array([seeds[lang] for lang in b.column(0).to_pylist()], np.int64), size).tolist()
-    h = xxhash.xxh64_intdigest
-    each = np.fromiter((h(w, s) for w, s in zip(words.flatten().cast(pa.binary()).to_pylist(), seed)), np.uint64, len(seed))
-    start = np.cumsum(size) - size
-    out = each[start]
-    for j in range(1, int(size.max(initial=0))):
-        more = size > j
-        out[more] = _mix(out[more], each[start[more] + j])
-    return out
+def _rows(lang: bytes, k: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    m = len(phrases)
+    return pa.RecordBatch.from_arrays([pa.array([lang.decode()] * m, pa.string()), pa.array(np.full(m, k), pa.int32()), phrases.cast(pa.binary()).cast(pa.string()),
+                                       pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
 
 
-def _bitmap(phrases: DataFrame, bits: np.ndarray, block: int = 1 << 12) -> np.ndarray:
-    """`bits` with the places of `phrases` (lang, phrase) set; at most its size reaches the driver."""
-    mask = np.uint64(len(bits) * 8 - 1)
-    size = len(bits)
+def _bitmap(hashes: DataFrame, bits: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """`bits` with the places of the column `h` set; at most its size reaches the driver."""
+    mask, size = np.uint64(len(bits) * 8 - 1), len(bits)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size, np.uint8)
         for b in batches:
-            h = _hash_rows(b)
+            h = b.column(0).to_numpy().view(np.uint64)
             for p in (h & mask, (h >> np.uint64(31)) & mask):
                 np.bitwise_or.at(own, p >> np.uint64(3), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
         used = np.flatnonzero(own.reshape(-1, min(block, size)).any(1))
@@ -187,24 +191,29 @@ def _bitmap(phrases: DataFrame, bits: np.ndarray, block: int = 1 << 12) -> np.nd
         return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     out = bits.copy().reshape(-1, min(block, size))
-    rows = phrases.select("lang", "phrase").mapInArrow(places, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary")
+    rows = hashes.select("h").mapInArrow(places, "at int, bits binary").groupBy("at").applyInArrow(join, "at int, bits binary")
     for r in rows.toLocalIterator():
         out[r["at"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.reshape(-1)
 
 
+def _fresh_bitmap(hashes: DataFrame, most_bytes: int) -> np.ndarray:
+    """A bitmap of 16 bits a hash, within `most_bytes`."""
+    size = min(most_bytes, max(1 << 12, 2 * hashes.count()))
+    return _bitmap(hashes, np.zeros(1 << ((size - 1).bit_length() if size < most_bytes else size.bit_length() - 1), np.uint8))
+
+
 def _missed(counts: DataFrame, shared: Broadcast) -> DataFrame:
-    """Rows (lang, k, phrase) that the bitmaps of their lengths do not find."""
+    """Rows (k, h) that the bitmaps of their lengths do not find."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value[0]
         for b in batches:
-            if b.num_rows:
-                h, k = _hash_rows(b.select(["lang", "phrase"])), b.column("k").to_numpy()
-                out = np.zeros(len(h), bool)
-                for one in np.unique(k).tolist():
-                    out[k == one] = ~_found(bits[one], h[k == one])
-                yield b.filter(pa.array(out))
-    return counts.select("lang", "k", "phrase").mapInArrow(run, "lang string, k int, phrase string")
+            h, k = b.column(1).to_numpy().view(np.uint64), b.column(0).to_numpy()
+            out = np.zeros(len(h), bool)
+            for one in np.unique(k).tolist():
+                out[k == one] = ~_found(bits[one], h[k == one])
+            yield b.filter(pa.array(out))
+    return counts.select("k", "h").mapInArrow(run, "k int, h long")
 
 
 def count_frequent(docs: DataFrame, longest: int, least: int, share: float, seed: int, bitmap_bytes: int) -> DataFrame:
@@ -215,23 +224,24 @@ def count_frequent(docs: DataFrame, longest: int, least: int, share: float, seed
     bits: dict[int, np.ndarray] = {}
     for k in range(1, longest):         # the sample proposes, length by length
         shared = send((bits, {}))
-        seen = materialise(_count(some, k, (k,), shared).where(F.col("n") >= low), "phrases-proposed")
+        seen = materialise(_hashed(some, k, (k,), shared).where(F.col("n") >= low), "phrases-proposed")
         shared.unpersist()
-        size = min(bitmap_bytes, max(1 << 12, 2 * seen.count()))        # 16 bits a phrase
-        bits = bits | {k: _bitmap(seen, np.zeros(1 << (size - 1).bit_length() if size < bitmap_bytes else 1 << (size.bit_length() - 1), np.uint8))}
+        bits = bits | {k: _fresh_bitmap(seen, bitmap_bytes)}
     shared = send((bits, {}))
-    done = fresh = materialise(_count(docs, longest, tuple(range(longest + 1)), shared).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-counted")
-    while longest > 1:
-        failed = materialise(_missed(fresh.where((F.col("k") > 0) & (F.col("k") < longest)), shared), "phrases-failed")
-        shared.unpersist()
-        lengths = [r["k"] for r in failed.select("k").distinct().collect()]
-        if not lengths:
-            break
+    done = materialise(_hashed(docs, longest, tuple(range(1, longest + 1)), shared).where(F.col("n") >= least), "phrases-bordered")
+    failed = materialise(_missed(done.where(F.col("k") < longest), shared), "phrases-failed")
+    shared.unpersist()
+    lengths = [r["k"] for r in failed.select("k").distinct().collect()]
+    if lengths:
         wider = bits | {k: _bitmap(failed.where(F.col("k") == k), bits[k]) for k in lengths}
         shared = send((wider, bits))
-        fresh = materialise(_count(docs, longest, tuple(range(2, longest + 1)), shared).where(F.col("n") >= least), "phrases-counted")
-        done, bits = done.unionByName(fresh), wider
-    return done
+        more = materialise(_hashed(docs, longest, tuple(range(2, longest + 1)), shared).where(F.col("n") >= least), "phrases-bordered")
+        shared.unpersist()
+        done = done.unionByName(more)
+    shared = send({k: _fresh_bitmap(done.where(F.col("k") == k), bitmap_bytes) for k in range(1, longest + 1)})
+    counts = materialise(_exact(docs, longest, shared).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases-counted")
+    shared.unpersist()
+    return counts
 
 
 def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int) -> DataFrame:
@@ -254,7 +264,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
     counts = count_frequent(rows, longest, least, share, seed, bitmap_bytes)
     total = counts.where("k = 0").select("lang", F.col("n").alias("words"))
-    frequent = materialise(counts.where("k > 0"), "phrases-frequent") if longest > 1 else counts.where("k > 0")
+    frequent = counts.where("k > 0")
     part = frequent.select("lang", "phrase", F.col("n").alias("f"))
     words = F.split("phrase", " ")
     cut = frequent.where("k > 1").withColumn("at", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(
