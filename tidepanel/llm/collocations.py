@@ -31,7 +31,7 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of text that are counted at once.
-PIECE = 2 << 20
+PIECE = 4 << 20
 _COUNTS = "lang string, k int, phrase string, n long"
 
 
@@ -66,7 +66,7 @@ def _segment(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
-    piece = np.cumsum(kind == 2)[starts]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     packed = np.frombuffer(buf, np.uint8)[inside].tobytes()
@@ -75,7 +75,7 @@ def _segment(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _walk(lang: bytes, texts: list[bytes], most: int, goes: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple]:
-    """(k, ids, words, places, hashes, fresh) for lengths from 1 on: the places where a phrase of k words starts, inside a
+    """(k, ids, words, places, hashes, fresh, hashes of `words`) for lengths from 1 on: the places where a phrase of k words starts, inside a
     piece, whose two shorter parts `goes` lets pass. `goes(k, hashes, fresh)` says which phrases of k words may grow, and
     leaves in `fresh` which count anew; a phrase is fresh if one of its parts is."""
     ids, words, piece = _segment(texts)
@@ -84,7 +84,7 @@ def _walk(lang: bytes, texts: list[bytes], most: int, goes: Callable[[int, np.nd
     n, wh = len(ids), _word_hashes(lang, words.to_pylist())
     here, hashes, fresh = np.arange(n), wh[ids], np.zeros(n, bool)
     for k in range(1, most + 1):
-        yield k, ids, words, here, hashes, fresh
+        yield k, ids, words, here, hashes, fresh, wh
         if k == most:
             return
         grow, known = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
@@ -128,9 +128,9 @@ def _hashed(docs: DataFrame, most: int, levels: tuple[int, ...], shared: Broadca
                 return np.zeros(len(h), bool), np.zeros(len(h), bool)
             return (_found(new[k], h) | fresh, _found(old[k], h) & ~fresh) if old else (_found(new[k], h), np.zeros(len(h), bool))
         for lang, texts in _by_lang(batches):
-            for k, _, _, _, h, fresh in _walk(lang, texts, most, goes):
+            for k, ids, words, _, h, fresh, wh in _walk(lang, texts, most, goes):
                 if k in levels:
-                    h, n = np.unique(h[fresh] if old else h, return_counts=True)
+                    h, n = (wh, np.bincount(ids, minlength=len(words))) if k == 1 else np.unique(h[fresh] if old else h, return_counts=True)
                     for i in range(0, len(h), 1 << 17):
                         part = h[i:i + (1 << 17)].view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part), pa.array(n[i:i + (1 << 17)])], ["k", "h", "n"])
@@ -145,9 +145,13 @@ def _exact(docs: DataFrame, most: int, shared: Broadcast) -> DataFrame:
         def goes(k, h, fresh):
             return (_found(bits[k], h) if k in bits else np.zeros(len(h), bool)), fresh
         for lang, texts in _by_lang(batches):
-            for k, ids, words, here, h, _ in _walk(lang, texts, most, goes):
+            for k, ids, words, here, h, _, wh in _walk(lang, texts, most, goes):
                 if k == 1:
                     yield _rows(lang, 0, pa.array([b""], pa.large_binary()), np.array([len(ids)]))
+                    some = np.flatnonzero(_found(bits[1], wh))
+                    if len(some):
+                        yield _rows(lang, 1, words.take(pa.array(some)), np.bincount(ids, minlength=len(words))[some])
+                    continue
                 here = here[_found(bits[k], h)] if k in bits else here[:0]
                 if not len(here):
                     continue
@@ -159,7 +163,7 @@ def _exact(docs: DataFrame, most: int, shared: Broadcast) -> DataFrame:
                     key = key * len(words) + c
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 names = [words.take(pa.array(c[first])) for c in cols]
-                yield _rows(lang, k, pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())) if k > 1 else names[0], n)
+                yield _rows(lang, k, pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary())), n)
     return docs.select("lang", "text").mapInArrow(run, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
