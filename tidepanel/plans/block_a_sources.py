@@ -71,13 +71,13 @@ def a6(t):
 
 
 @query("a7_vendor_long", sql("""SELECT date, symbol, open, high, low, close, adj_close, volume FROM bars_d
-WHERE symbol = 'Brand#7' AND close IS NOT NULL""", "bars_d"))
+WHERE close IS NOT NULL""", "bars_d"))
 def a7(t):
-    """A vendor's frame of one symbol (its own column names) to our long form."""
-    raw = (t.dense("day").where("symbol = 'Brand#7'")
-           .select("date", F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
+    """A vendor's frames of all symbols (its own column names, nulls where a symbol did not trade) to our long form, in one job."""
+    raw = (t.dense("day")
+           .select("date", F.col("symbol").alias("Ticker"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
                    F.col("close").alias("Close"), F.col("adj_close").alias("Adj Close"), F.col("volume").alias("Volume")))
-    return B.vendor_long(raw, F.lit("Brand#7")).select(*B.BAR_COLUMNS)
+    return B.vendor_long(raw, F.col("Ticker")).select(*B.BAR_COLUMNS)
 
 
 @query("a8_densify", sql(f"SELECT t, {COLS} FROM grid_d", "grid_d"))
