@@ -155,3 +155,13 @@ def test_forecasts_and_ranges(spark, sample):
     days = df.where("d <= '2020-01-10' OR d >= '2020-02-01'").select(F.lit(1).alias("fold"), "date")
     assert sorted((r["key"], str(r["lo"]), str(r["hi"])) for r in W.date_ranges(days, "fold", cal).collect()) == [
         (1, "2020-01-01", "2020-01-10"), (1, "2020-02-01", max(pdf["d"]))]
+
+
+def test_bars_order_events_by_time_and_whole_id(spark):
+    from tidepanel.streaming.bars import event_bars
+    rows = [(i, "2020-01-01 00:00:01", float(i)) for i in (7 + 4096, 7, 7 + 2 * 4096, 2 ** 62, -5)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "'a' event_type", "value")
+    bars = event_bars(e.repartition(4), late=None)
+    got = bars.first()
+    assert (got["open"], got["close"]) == (-5.0, float(2 ** 62))
+    assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from ..streaming import bars as S
 from .block_e_evaluate import rnd
 from .registry import query
 
-ORD = "epoch_us(ts) * 4096 + event_id % 4096"
+ORD = "{'ts': ts, 'id': event_id}"
 FIN = "(SELECT epoch(max(ts)) - 3600 FROM events)"
 L1 = f"""SELECT CAST(ts AS DATE) AS date, event_type AS symbol, arg_min(value, {ORD}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {ORD}) AS close,
  count(*) AS events FROM events GROUP BY 1, 2 HAVING epoch(CAST(CAST(ts AS DATE) AS TIMESTAMP)) + 86400 <= {FIN}"""

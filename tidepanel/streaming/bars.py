@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,17 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
     return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_order(ts: Column, event_id: Column) -> Column:
+    """Time, then the whole event id, as one DECIMAL(38): exact, and of fixed width, so hash aggregation can keep it."""
+    whole = event_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return (F.unix_micros(ts).cast("decimal(17,0)") * F.lit(str(10 ** 20)).cast("decimal(21,0)") + whole).cast("decimal(38,0)")
+
+
 def event_bars(events: DataFrame, every: str = "1 day", key: str = "event_type", late: str | None = "1 hour") -> DataFrame:
     """Tumbling bars. On a stream in append mode only windows behind the watermark come out: the forming bar is withheld."""
     if late is not None:
         events = events.withWatermark("ts", late)
-    order = F.unix_micros("ts") * 4096 + F.col("event_id") % 4096      # one BIGINT keeps the plan on hash aggregation
+    order = event_order(F.col("ts"), F.col("event_id"))
     b = events.groupBy(F.window("ts", every).alias("w"), F.col(key).alias("symbol")).agg(
         F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
         F.max_by("value", order).alias("close"), F.count("*").alias("events"))
