@@ -20,9 +20,9 @@ cte("kbook", """SELECT model, t, symbol, CASE WHEN n < 10 THEN 0.0 WHEN lo <= 5
 cte("kweights", "SELECT account_id, symbol, weight FROM accounts JOIN kbook USING (model) WHERE t = (SELECT max(t) FROM cal)", "accounts", "kbook", "cal")
 cte("kpos", """SELECT account_id, symbol, trunc(weight * equity / price) AS qty FROM accounts JOIN kbook b USING (model) JOIN kprice USING (symbol)
  WHERE t = (SELECT max(t) - 1 FROM cal) AND weight <> 0 AND left(md5(CAST(account_id AS VARCHAR) || '|' || symbol), 1) < 'c' AND trunc(weight * equity / price) <> 0""", "accounts", "kbook", "kprice", "cal")
-ACTION = """CASE WHEN b >= 0 AND a >= 0 AND a > b THEN CASE WHEN b = 0 THEN 'open long' ELSE 'add to long' END
- WHEN b >= 0 AND a >= 0 THEN CASE WHEN a = 0 THEN 'close long' ELSE 'reduce long' END WHEN a > b THEN CASE WHEN a = 0 THEN 'close short' ELSE 'reduce short' END
- ELSE CASE WHEN b = 0 THEN 'open short' ELSE 'add to short' END END"""
+#: What happens to the size of a position, and on which side: a leg never crosses zero, so a + b has the side's sign.
+GROWTH = "CASE WHEN abs(a) < abs(b) THEN if(a = 0, 'close', 'reduce') ELSE if(b = 0, 'open', 'add to') END"
+ACTION = f"concat_ws(' ', {GROWTH}, if(a + b > 0, 'long', 'short'))"
 
 
 def legs_sql(rel: str, phase: str, extra: str = "") -> str:
