@@ -161,7 +161,8 @@ def test_links_connect_what_is_near(spark, most_in_cell):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "_fp long")
     edges = simhash.links(df, 4, most_in_cell)
     pairs = edges.collect()
-    assert all(bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 64 for a, b in pairs)
+    # blocks of a crowded cell give edges of a spanning tree from its root; the others are links themselves
+    assert most_in_cell == 2 or all(bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 4 for a, b in pairs)
     root = {int(x): int(x) for x in fps.view(np.int64)}
 
     def find(x):
