@@ -1,7 +1,7 @@
 """Factor residuals, mean-reversion fits, trade states and the stateful hedged book.
 
-The one-factor fit works on window arrays: no window is ever exploded into rows. Trade states are a scan that is parallel
-inside a symbol. The eigenportfolio fit (see `eigen`) never forms a stock-by-stock matrix.
+The one-factor fit comes from running sums (`running_fit`); only residual paths asked for as such are gathered as arrays.
+Trade states are a scan that is parallel inside a symbol. The eigenportfolio fit (see `eigen`) never forms a stock-by-stock matrix.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ratio, span
 from ..functions.statescan import scan_states
 from ..session import cut_lineage
+from .running_fit import running_fit
 
 TRADING_DAYS = 252
 
@@ -77,13 +78,6 @@ def _sum(a: Column, f) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + f(v))
 
 
-def ar1(path: Column, window: int) -> dict[str, Column]:
-    """Moments of the AR(1) fit on a cumulative residual path given as an array of `window` values."""
-    x, y = F.slice(path, 1, window - 1), F.slice(path, 2, window - 1)
-    n = float(window - 1)
-    return {"xm": _sum(x, lambda v: v) / n, "ym": _sum(y, lambda v: v) / n, "x": x, "y": y}
-
-
 def ou_from_paths(df: DataFrame, cfg: FactorConfig, path: str = "path") -> DataFrame:
     """kappa, m, sigma_eq and x_last from residual paths; NULL unless 0 < b < 1 and the noise has variance."""
     n = float(cfg.window - 1)
@@ -137,9 +131,8 @@ def enough_names(fit: DataFrame, cfg: FactorConfig) -> DataFrame:
 
 def fund_fit(stock: DataFrame, funds: DataFrame, sectors: DataFrame, cfg: FactorConfig) -> DataFrame:
     """All days' estimates at once: stock and funds carry (date, symbol, t, ret)."""
-    j = hedge_funds(stock, funds, sectors, cfg.window)
-    fit = residual_path(one_factor(j, cfg.window).where(F.col("beta").isNotNull()), cfg)
-    return s_scores(ou_from_paths(fit, cfg), cfg)
+    fit = running_fit(hedge_funds(stock, funds, sectors, cfg.window), cfg.window, cfg.per_year)
+    return s_scores(fit, cfg)
 
 
 # --------------------------------------------------------------------- trade states

@@ -12,6 +12,7 @@ from ..operators import factors as H
 from ..operators import stats as J
 from ..operators.backtest import window_trades
 from ..operators.features import market_volatility
+from ..operators.running_fit import running_fit
 from .block_e_evaluate import R, rnd
 from .block_j_stats import perf, perf_sql, PERF
 from ..session import materialise
@@ -84,6 +85,14 @@ def h3(t):
                     F.round(F.array_min("path"), 6).alias("lo"), F.size("path").cast("bigint").alias("n"))
 
 
+@query("h3_path_moments", sql("SELECT symbol, t, round(avg(p), 6) AS path_mean, round(avg(p * p), 6) AS path_square FROM paths GROUP BY symbol, t", "paths"))
+def h3m(t):
+    """Mean and mean square of each window's residual path, from running sums: no path is written down."""
+    stock, funds = inputs(t)
+    fit = running_fit(H.hedge_funds(stock, funds, t.sectors(), N), N, CFG.per_year)
+    return H.enough_names(fit, CFG).select("symbol", "t", *rnd("path_mean", "path_square"))
+
+
 @query("h4_ou_parameters", sql(f"SELECT symbol, t, {R('b', 'kappa', 'm', 'sigma_eq')} FROM ou", "ou"))
 def h4(t):
     return fit_of(t)[2].select("symbol", "t", *rnd("b", "kappa", "m", "sigma_eq"))
