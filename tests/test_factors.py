@@ -22,9 +22,10 @@ def returns(spark):
 @pytest.mark.parametrize("rows", [2000, 5])
 def test_eigen_fit_has_its_properties(returns, rows):
     df, R = returns
-    w = EI.return_windows(df, CFG, 1).where("t in (50, 70)").cache()
-    days = EI.eigen_days(w, CFG, rows)
+    w = EI.day_blocks(df, CFG).cache()
+    days = EI.eigen_days(w, CFG, rows=rows).where("t in (50, 70)").cache()
     fit = EI.eigen_fit(w, days, CFG, rows).toPandas()
+    assert set(fit["t"]) == {50, 70}
     lam = {r["t"]: np.array(r["eigenvalues"]) for r in days.collect()}
     for t, cols in ((50, list(range(15))), (70, [j for j in range(15) if j != 4])):
         X = R[t - 39:t + 1][:, cols]
@@ -47,10 +48,24 @@ def test_eigen_fit_has_its_properties(returns, rows):
         assert np.allclose(g["b"], b, atol=1e-6)
 
 
+def test_blocks_hold_a_return_twice_and_every_whole_window_is_used(spark, returns):
+    df, R = returns
+    blocks = EI.day_blocks(df, CFG)
+    known = df.count()
+    assert blocks.agg(F.sum(F.size("r"))).first()[0] <= 2 * known
+    days = EI.eigen_days(blocks, CFG, stride=3, offset=1).toPandas().set_index("t")
+    whole = lambda t: 14 if t - 39 <= 62 and t >= 60 else 15
+    assert dict(days["n_stocks"]) == {t: whole(t) for t in range(39, 90) if t % 3 == 1}
+    flat = df.where("symbol = 'S01'").select(F.lit("FLAT").alias("symbol"), "t", F.lit(0.01).alias("ret"))
+    more = EI.eigen_days(EI.day_blocks(df.unionByName(flat), CFG), CFG, stride=3, offset=1).toPandas().set_index("t")
+    assert dict(more["n_stocks"]) == dict(days["n_stocks"])         # a stock that never moves has no correlation
+    assert EI.eigen_days(EI.day_blocks(df.where("t < 30"), CFG), CFG).count() == 0
+
+
 def test_factor_book_has_no_exposure(spark, returns):
     df, R = returns
-    w = EI.return_windows(df, CFG, 1).where("t = 50")
-    fit = EI.eigen_fit(w, EI.eigen_days(w, CFG), CFG)
+    w = EI.day_blocks(df, CFG)
+    fit = EI.eigen_fit(w, EI.eigen_days(w, CFG, stride=25), CFG).where("t = 50")
     states = spark.createDataFrame([("S01", 50, 1), ("S02", 50, -1), ("S09", 50, 1)], "symbol string, t int, state int")
     book = {r["symbol"]: r["weight"] for r in EI.factor_book(states, fit, CFG).collect()}
     q = fit.toPandas().set_index("symbol")

@@ -291,12 +291,56 @@ def h15(t):
 
 # ------------------------------------------------------------------ eigenportfolios
 
-def eigen_of(t):
+def eigen_of(t, cfg=CFG):
     """Every as-of week."""
     stock, _ = inputs(t)
-    w = materialise(EI.return_windows(stock, CFG), "windows")
-    days = H.cut_lineage(EI.eigen_days(w, CFG))
-    return stock, w, days, EI.eigen_fit(w, days, CFG)
+    w = materialise(EI.day_blocks(stock, cfg), "blocks")
+    days = H.cut_lineage(EI.eigen_days(w, cfg))
+    return stock, w, days, EI.eigen_fit(w, days, cfg)
+
+
+THREE = replace(CFG, n_factors=3)
+cte("wholewin", f"""SELECT t, count(*) AS n FROM (SELECT t, count(ret) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {CFG.corr_window - 1} PRECEDING AND CURRENT ROW) AS known
+ FROM rets) WHERE known = {CFG.corr_window} GROUP BY t HAVING count(*) >= {CFG.min_names}""", "rets")
+_KL = "unnest([1, 2, 3]) AS k"
+
+
+@query("h11_trace", sql("SELECT t, n AS n_stocks, CAST(n AS DOUBLE) AS trace FROM wholewin", "wholewin"))
+def h11t(t):
+    """A correlation matrix has one on its diagonal for every name: the eigenvalues of each week add up to the names."""
+    days = eigen_of(t)[2]
+    return days.select("t", "n_stocks", F.round(F.aggregate("eigenvalues", F.lit(0.0), lambda a, v: a + v), 6).alias("trace"))
+
+
+@query("h8_loading_products", sql(f"""SELECT t, CAST(k AS INTEGER) AS k, CAST(l AS INTEGER) AS l, CAST(k = l AS DOUBLE) AS product
+ FROM (SELECT t, k, unnest([1, 2, 3]) AS l FROM (SELECT t, {_KL} FROM wholewin))""", "wholewin"))
+def h8p(t):
+    """Loadings times volatility are unit vectors at right angles, every week, for three factors."""
+    v = eigen_of(t, THREE)[3].select("t", F.transform("q", lambda x: x * F.col("sigma")).alias("v"))
+    return _products(v, "v", "v")
+
+
+def _products(df, left, right):
+    """(t, k, l, product): sums over names of the k-th entry of one array times the l-th of another."""
+    one = df.select("t", right, F.posexplode(left).alias("k", "x"))
+    two = one.select("t", "k", "x", F.posexplode(right).alias("l", "y")).groupBy("t", "k", "l").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    return two.select("t", (F.col("k") + 1).alias("k"), (F.col("l") + 1).alias("l"), (F.round("p", 6) + F.lit(0.0)).alias("product"))
+
+
+@query("h9_factor_exposures", sql(f"""SELECT t, CAST(k AS INTEGER) AS k, CAST(l AS INTEGER) AS l, CAST(k = l AS DOUBLE) AS product
+ FROM (SELECT t, k, unnest([1, 2, 3]) AS l FROM (SELECT t, {_KL} FROM wholewin))""", "wholewin"))
+def h9e(t):
+    """A factor portfolio has exposure one to its own factor and none to the others."""
+    return _products(eigen_of(t, THREE)[3], "q", "beta")
+
+
+@query("f9_zero_exposure", sql(f"SELECT t, CAST(k AS INTEGER) AS factor, 0.0::DOUBLE AS exposure FROM (SELECT t, {_KL} FROM wholewin WHERE t < (SELECT max(t) FROM cal))", "wholewin", "cal"))
+def f9z(t):
+    """The hedged book's exposure to each of three factors, every week: nothing is left."""
+    _, fit, _, states = eigen_states(t, THREE)
+    book = EI.factor_book(states, fit, THREE)
+    e = fit.select("t", "symbol", F.posexplode("beta").alias("k", "b")).join(book, ["t", "symbol"], "left")
+    return e.groupBy("t", (F.col("k") + 1).alias("factor")).agg(F.abs(F.round(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("b")), 6)).alias("exposure"))
 
 
 @query("h8_eigenportfolios")
@@ -339,13 +383,13 @@ def h12(t):
     return v.groupBy("t", "fund").agg(F.round(F.avg("v"), 6).alias("mean_loading"), F.count("*").alias("names"))
 
 
-def eigen_states(t):
-    stock, _, _, fit = eigen_of(t)
-    fit = H.cut_lineage(H.s_scores(fit, CFG))
+def eigen_states(t, cfg=CFG):
+    stock, _, _, fit = eigen_of(t, cfg)
+    fit = H.cut_lineage(H.s_scores(fit, cfg))
     last = t.calendar().select(F.max("t")).scalar()
     fit = fit.where(F.col("t") < last)
     days = fit.select("t").distinct()
-    return stock, fit, days, H.cut_lineage(H.trade_states(fit, days, CFG))
+    return stock, fit, days, H.cut_lineage(H.trade_states(fit, days, cfg))
 
 
 @query("f9_factor_hedged_book")
