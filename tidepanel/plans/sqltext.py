@@ -34,7 +34,7 @@ def sql(body: str, *needs: str) -> str:
 
 def _trades(date: str, dow: str) -> str:
     return f"""SELECT {date} AS date, p_brand AS symbol, l_suppkey, l_extendedprice / l_quantity AS px,
-  ((CAST({dow} AS BIGINT) * 1099511627776 + l_orderkey) * 8 + l_linenumber) * 131072 + l_partkey % 131072 AS ord,
+  {{'d': {dow}, 'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey}} AS ord,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS c, l_quantity AS q
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 

@@ -34,11 +34,25 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", columns=BAR_
     return df.select(*[F.col(c).cast(BAR_SCHEMA[c].dataType) for c in columns])
 
 
+#: What `trade_order` keeps apart: order numbers, lines of an order, part numbers below these.
+ORDERS, LINES, PARTS = 10 ** 16, 10 ** 5, 10 ** 13
+
+
+def trade_order(place: Column, order_id: Column, line: Column, part: Column) -> Column:
+    """Place in the period (0 to 30), order, line and part as one DECIMAL(38): exact and of fixed width, so hash
+    aggregation can keep it. Numbers beyond the bounds are an error, never a wrong order."""
+    fits = order_id.between(0, ORDERS - 1) & line.between(0, LINES - 1) & part.between(0, PARTS - 1)
+    high = (place.cast("bigint") * ORDERS + order_id).cast("decimal(18,0)")
+    low = (line.cast("bigint") * PARTS + part).cast("decimal(18,0)")
+    key = (high * F.lit(str(10 ** 18)).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+    return F.when(fits, key).otherwise(F.raise_error(F.lit("an order, line or part number is negative or too large")).cast("decimal(38,0)"))
+
+
 def ohlc(trades: DataFrame, keys: list[str], price, order, volume, notional_cents=None) -> DataFrame:
     """Bars from trades: first/highest/lowest/last price by `order`, volume-weighted price and volume.
 
     Every aggregate combines map-side, so a key holding a third of all trades still ships one row per task. `order`
-    is a single BIGINT, which keeps the plan on hash aggregation.
+    is one number of fixed width, which keeps the plan on hash aggregation.
     """
     px, o, v = col(price), col(order), col(volume)
     cents = F.round(px * v * 100).cast("bigint") if notional_cents is None else col(notional_cents)

@@ -32,8 +32,7 @@ class Tables:
             li = li.where(F.col("l_shipdate") < F.lit(end).cast("timestamp_ntz"))
         day = F.to_date("l_shipdate")
         date = {"week": F.date_sub(day, F.weekday(day)), "day": day, "month": F.trunc(day, "month")}[freq]
-        order = (((F.weekday(day) if freq == "week" else F.dayofmonth(day) * 0).cast("bigint")
-                  * F.lit(1 << 40) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")) * 131072 + F.col("l_partkey") % 131072
+        order = B.trade_order(F.datediff(day, date), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
         return li.select(date.alias("date"), "l_partkey", "l_suppkey", order.alias("ord"),
                          (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
                          F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"),
