@@ -72,21 +72,30 @@ def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def idempotent_sink(path: str, key: str):
+def stored_keys(spark: SparkSession, path: str, key: str, buckets: list[int]) -> DataFrame | None:
+    """(key, epoch) of these buckets of a key store; other buckets are neither listed nor read. None where there are none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in (f"{path}/bucket={b}" for b in buckets) if folder(p).getFileSystem(conf).exists(folder(p))]
+    return spark.read.option("basePath", path).parquet(*there).select(key, "epoch") if there else None
+
+
+def idempotent_sink(path: str, key: str, buckets: int = 64):
     """foreachBatch writer: a key already in the store is not written again, so replays and duplicates leave one row.
 
-    Each batch writes its own partition and replaces it on a replay, so a lost executor or a restart cannot double it."""
+    Keys are dealt into buckets by hash, which are folders: a batch is compared with the buckets of its own keys only. Each
+    batch writes its own partition of a bucket and replaces it on a replay, so a lost executor or a restart cannot double it."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         try:
-            seen = spark.read.parquet(path).where(F.col("epoch") != epoch).select(key)
-            new = new.join(seen, key, "left_anti")
-        except Exception as e:  # the store does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        (new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(path))
+            touched = sorted(r[0] for r in new.select("bucket").distinct().collect())      # at most `buckets` numbers
+            seen = stored_keys(spark, path, key, touched)
+            rows = new if seen is None else new.join(seen.where(F.col("epoch") != epoch).select(key), key, "left_anti")
+            (rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket", "epoch").parquet(path))
+        finally:
+            new.unpersist()
     return write
 
 
