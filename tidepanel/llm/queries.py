@@ -72,9 +72,8 @@ WITH d AS (SELECT doc_id, source, len({sql_words('text')}) AS size,
  q AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p) * (size / (size + 200.0))) END AS q
        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
  c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE q IS NOT NULL),
- cut AS (SELECT source, max(q) AS cut FROM c WHERE upto - size / 2.0 <= rest GROUP BY 1),
- n AS (SELECT q.doc_id, q.size, q.source_size, q.target, CAST(whole + CASE WHEN q <= cut THEN 1 ELSE 0 END AS BIGINT) AS copies
-       FROM q LEFT JOIN cut ON q.source IS NOT DISTINCT FROM cut.source)
+ n AS (SELECT doc_id, size, source_size, target, CAST(whole + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c
+       UNION ALL SELECT doc_id, size, source_size, target, CAST(whole AS BIGINT) FROM q WHERE q IS NULL)
 SELECT doc_id, size, source_size, target, copies * size AS taken FROM n""")
 def op2(spark, sf_dir):
     plan = plan_mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), carry=["doc_id"])
