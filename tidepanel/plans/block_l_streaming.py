@@ -34,15 +34,30 @@ def l1b(t):
     return S.finished(S.event_bars(batch(t), late=None), batch(t), 3600)
 
 
-@query("l2_late_rows", f"""SELECT symbol, min(date) AS first_bar, count(*) AS bars, CAST(sum(events) AS BIGINT) AS events FROM ({L1}) WHERE date <> (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY symbol""")
-def l2(t):
-    """Rows of the first day sent after the rest: dropped behind the watermark, so the bars equal those without them."""
+def late_runs(t):
+    """Bars and counts of one stream in two runs: all days but the first, then the first day."""
     folder = shared_folder(t.spark, "late")
     first = t.events().select(F.min(F.to_date("ts"))).scalar()
     e = t.events()
-    for part, rows in ((1, F.to_date("ts") != first), (2, F.to_date("ts") == first)):      # two runs of one stream
+    for part, rows in ((1, F.to_date("ts") != first), (2, F.to_date("ts") == first)):
         e.where(rows).write.parquet(f"{folder}/in/part={part}")
-        out = S.run_to_table(S.event_bars(S.read_events(t.spark, f"{folder}/in/part=*")), "bars", folder)
+        progress = []
+        out = S.run_to_table(S.event_bars(S.read_events(t.spark, f"{folder}/in/part=*")), "bars", folder, progress=progress)
+        counts = S.run_counts(t.spark, "bars", folder, progress, out)
+    return out, counts
+
+
+@query("l2_dropped_rows", """SELECT CASE WHEN CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) THEN 2 ELSE 1 END AS run, count(*) AS input_rows,
+ count(*) FILTER (WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events)) AS dropped_rows FROM events GROUP BY 1""")
+def l2d(t):
+    """Rows in and rows dropped behind the watermark, by run of the stream."""
+    return late_runs(t)[1].select(F.col("run").cast("int").alias("run"), "input_rows", "dropped_rows")
+
+
+@query("l2_late_rows", f"""SELECT symbol, min(date) AS first_bar, count(*) AS bars, CAST(sum(events) AS BIGINT) AS events FROM ({L1}) WHERE date <> (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY symbol""")
+def l2(t):
+    """Rows of the first day sent after the rest: dropped behind the watermark, so the bars equal those without them."""
+    out, _ = late_runs(t)
     return out.groupBy("symbol").agg(F.min("date").alias("first_bar"), F.count("*").alias("bars"), F.sum("events").alias("events"))
 
 

@@ -63,15 +63,40 @@ def with_dimension(stream: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     return stream.join(dim, on, "left")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over everything available now and return what it wrote, as parquet in the shared folder."""
+def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Drive a stream over everything available now and return what it wrote, as parquet in the shared folder. The run's
+    progress, one entry a batch, is added to `progress`."""
     out, state = f"{checkpoint}/{name}/data", f"{checkpoint}/{name}/state"
+    if progress is not None:                    # Spark keeps the newest 100 entries unless told otherwise
+        df.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(10 ** 6))
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def run_counts(spark: SparkSession, name: str, checkpoint: str, progress: list, emitted: DataFrame, count: str = "events") -> DataFrame:
+    """One row for a finished run of an aggregation by `run_to_table`: input rows, rows dropped behind the watermark in this
+    run, and groups dropped. `progress` is the query's progress, `count` the column of `emitted` that counts input rows.
+
+    Spark counts what it drops after its partial sums, that is groups; rows follow from what is neither in a written bar
+    nor in the state, which is read from the checkpoint. Earlier runs' rows are read back from the counts written before."""
+    out = f"{checkpoint}/{name}/runs"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    before = spark.read.parquet(out) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else None
+    run, came, gone = before.agg(F.count("*"), F.sum("input_rows"), F.sum("dropped_rows")).first() if before is not None else (0, 0, 0)
+    rows = sum(p["numInputRows"] for p in progress)
+    groups = sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
+    state = spark.read.format("statestore").load(f"{checkpoint}/{name}/state")
+    held = state.agg(F.coalesce(F.sum("value.count"), F.lit(0))).first()[0]
+    written = emitted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    row = spark.createDataFrame([(run + 1, rows, came + rows - gone - written - held, groups)], "run long, input_rows long, dropped_rows long, dropped_groups long")
+    row.coalesce(1).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def stored_keys(spark: SparkSession, path: str, key: str, buckets: list[int]) -> DataFrame | None:
     """(key, epoch) of these buckets of a key store; other buckets are neither listed nor read. None where there are none."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
