@@ -107,24 +107,28 @@ def targets_and_positions(weights: DataFrame, accounts: DataFrame, positions: Da
 # --------------------------------------------------------------------- stateful plan
 
 def stateful_plan(fit: DataFrame, accounts: DataFrame, positions: DataFrame, prices: DataFrame, shortable: DataFrame,
-                  sectors: DataFrame, cfg: FactorConfig, slices: int = 32) -> DataFrame:
-    """One row per (account, stock) with the state before and after today and the target shares.
-
-    fit holds today's estimates per symbol (s, eligible, beta, hedge). Held stocks without a price are blind: left
-    alone, and the fund that hedges them is frozen for that account, so no new trade may hedge there. A new short needs
-    a borrow (NULL: could not check, kept); one that a share's price makes too small is not opened.
+                  sectors: DataFrame, cfg: FactorConfig) -> DataFrame:
+    """One row per (account, stock) that is held or that opens today, with the state before and after and the target
+    shares. All other pairs are flat before and after and have no row.
+
+    fit holds today's estimates per (strategy, symbol): s, eligible, beta, hedge, kappa, sigma_eq; accounts (account_id,
+    strategy, equity). A pair can change only where the account holds the stock or where the strategy's signal opens it
+    from flat, so accounts meet the few openers of their own strategy and not the universe. Held stocks without a price
+    are blind: left alone, and the fund that hedges them is frozen for that account, so no new trade may hedge there. A
+    new short needs a borrow (NULL: could not check, kept); one that a share's price makes too small is not opened.
     """
     px = F.when(clean("price") > 0, F.col("price"))
-    universe = sectors.select("symbol", "fund").join(prices, "symbol", "left").join(shortable, "symbol", "left").join(
-        fit.select("symbol", "s", "eligible", "beta", "hedge", "kappa", "sigma_eq"), "symbol", "left")
-    # Every account looks at every stock, so one row each is the size of the answer. Both sides meet on a slice number:
-    # Spark broadcasts a small universe after its own size check, and a large one is shuffled in `slices` even parts.
-    universe = universe.withColumn("_slice", F.pmod(F.xxhash64("symbol"), F.lit(slices)).cast("int"))
-    rows = (accounts.select("account_id", "equity", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
-            .join(universe, "_slice").drop("_slice"))
-    rows = rows.join(positions.select("account_id", "symbol", "qty"), ["account_id", "symbol"], "left")
-    rows = (rows.withColumn("px", px).withColumn("qty", F.coalesce("qty", F.lit(0.0)))
-            .withColumn("blind", (F.col("qty") != 0) & F.col("px").isNull())
+    stocks = sectors.select("symbol", "fund").join(prices, "symbol", "left").join(shortable, "symbol", "left").withColumn("px", px)
+    today_ = fit.select("strategy", "symbol", "s", "eligible", "beta", "hedge", "kappa", "sigma_eq")
+    holders = accounts.select("account_id", "strategy", "equity")
+    held = (positions.where(clean("qty") != 0).select("account_id", "symbol", "qty").join(holders, "account_id").join(stocks, "symbol")
+            .join(today_, ["strategy", "symbol"], "left"))
+    starts = _next(F.lit(0), F.col("s"), F.coalesce("eligible", F.lit(False)), cfg) != 0
+    openers = stocks.where("px IS NOT NULL").join(today_, "symbol").where(starts)
+    opening = (holders.join(openers, "strategy").join(held.select("account_id", "symbol"), ["account_id", "symbol"], "left_anti")
+               .withColumn("qty", F.lit(0.0)))
+    rows = held.unionByName(opening)
+    rows = (rows.withColumn("blind", (F.col("qty") != 0) & F.col("px").isNull())
             .withColumn("before", F.when(F.col("blind"), 0).otherwise(F.signum("qty")).cast("int")))
     frozen = rows.where("blind").select("account_id", F.col("fund").alias("hedge")).distinct().withColumn("frozen", F.lit(True))
     rows = rows.join(frozen, ["account_id", "hedge"], "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))

@@ -151,8 +151,9 @@ def k12(t):
 
 cte("sfit", "SELECT * FROM fit WHERE t = (SELECT max(t) FROM cal)", "fit", "cal")
 cte("sprice", "SELECT symbol, CASE WHEN symbol IN ('Brand#11', 'Brand#12') THEN NULL ELSE price END AS price FROM kprice", "kprice")
-cte("spos", """SELECT account_id, symbol, trunc((CASE WHEN h < '3' THEN 1 ELSE -1 END) * 0.05::DOUBLE * equity / price) AS qty FROM (SELECT account_id, equity, s.symbol, p.price,
- left(md5(CAST(account_id AS VARCHAR) || '/' || s.symbol), 1) AS h FROM accounts, sectors s JOIN kprice p USING (symbol)) WHERE h < '5' AND trunc(0.05::DOUBLE * equity / price) <> 0""", "accounts", "sectors", "kprice")
+cte("bought", """SELECT DISTINCT o_custkey AS account_id, p_brand AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2""")
+cte("spos", """SELECT account_id, symbol, trunc((CASE WHEN h < '4' THEN 1 ELSE -1 END) * 0.05::DOUBLE * equity / price) AS qty FROM (SELECT account_id, equity, symbol, p.price,
+ left(md5(CAST(account_id AS VARCHAR) || '/' || symbol), 1) AS h FROM bought JOIN accounts USING (account_id) JOIN kprice p USING (symbol)) WHERE h < '8' AND trunc(0.05::DOUBLE * equity / price) <> 0""", "bought", "accounts", "kprice")
 cte("fprice", "SELECT symbol, arg_max(x, t) AS price FROM fgrid WHERE x IS NOT NULL GROUP BY symbol", "fgrid")
 cte("srows", """SELECT a.account_id, a.equity, s.symbol, s.fund, p.price AS px, b.shortable, f.s, f.eligible, f.beta, f.hedge, f.kappa, coalesce(q.qty, 0)::DOUBLE AS qty,
  coalesce(q.qty, 0) <> 0 AND p.price IS NULL AS blind FROM accounts a CROSS JOIN sectors s JOIN sprice p ON p.symbol = s.symbol JOIN shortable b ON b.symbol = s.symbol LEFT JOIN sfit f ON f.symbol = s.symbol
@@ -161,7 +162,7 @@ cte("splan", """SELECT *, CASE WHEN skipped IS NOT NULL THEN 0 ELSE raw END AS a
  FROM (SELECT *, CASE WHEN before = 0 AND raw < 0 AND shortable = FALSE THEN 'no borrow' WHEN before = 0 AND raw <> 0 AND (account_id, hedge) IN (SELECT (account_id, fund) FROM srows WHERE blind) THEN 'hedge frozen'
   WHEN before = 0 AND raw <> 0 AND size = 0 THEN 'too dear' END AS skipped
  FROM (SELECT *, trunc(raw * 0.05::DOUBLE * equity / px) AS size FROM (SELECT *, CASE WHEN px IS NULL OR s IS NULL THEN 0 WHEN before = 0 THEN CASE WHEN NOT eligible THEN 0 WHEN s < -1.25 THEN 1 WHEN s > 1.25 THEN -1 ELSE 0 END
-  WHEN before = 1 AND s > -0.5 THEN 0 WHEN before = -1 AND s < 0.75 THEN 0 ELSE before END AS raw FROM (SELECT *, CASE WHEN blind THEN 0 ELSE CAST(sign(qty) AS INTEGER) END AS before FROM srows))))""", "srows")
+  WHEN before = 1 AND s > -0.5 THEN 0 WHEN before = -1 AND s < 0.75 THEN 0 ELSE before END AS raw FROM (SELECT *, CASE WHEN blind THEN 0 ELSE CAST(sign(qty) AS INTEGER) END AS before FROM srows))) WHERE qty <> 0 OR raw <> 0)""", "srows")
 cte("shedge", """SELECT account_id, hedge AS fund, sum(-after * beta * abs(target) * px) AS dollars, string_agg(symbol, ',' ORDER BY symbol) AS covers FROM splan
  WHERE after <> 0 AND (account_id, hedge) NOT IN (SELECT (account_id, fund) FROM srows WHERE blind) GROUP BY ALL""", "splan")
 
@@ -170,13 +171,16 @@ def state_plan(t):
     _, _, fit = fit_of(t)
     last = t.calendar().select(F.max("t")).scalar()
     a, px = accounts(t), prices(t)
-    u = F.broadcast(px.agg(F.collect_list(F.struct("symbol", "price")).alias("u")))
+    lines = t.table("lineitem").where("l_linenumber <= 2").join(t.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    bought = (lines.join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+              .select(F.col("o_custkey").alias("account_id"), F.col("p_brand").alias("symbol")).distinct())
     h = F.substring(F.md5(F.concat_ws("/", F.col("account_id").cast("string"), "symbol")), 1, 1)
-    side = F.when(h < "3", 1).otherwise(-1)
-    pos = (a.join(u).select("account_id", "equity", F.inline("u")).where(h < "5")
+    side = F.when(h < "4", 1).otherwise(-1)
+    pos = (bought.where(h < "8").join(a, "account_id").join(px, "symbol")
            .select("account_id", "symbol", K.trunc(side * F.lit(0.05) * F.col("equity") / F.col("price")).alias("qty")).where("qty != 0"))
     known = px.withColumn("price", F.when(~F.col("symbol").isin("Brand#11", "Brand#12"), F.col("price")))
-    plan = K.stateful_plan(fit.where(F.col("t") == last), a, pos, known, shortable(t), t.sectors(), CFG)
+    today = fit.where(F.col("t") == last).withColumn("strategy", F.lit("factor"))
+    plan = K.stateful_plan(today, a.withColumn("strategy", F.lit("factor")), pos, known, shortable(t), t.sectors(), CFG)
     fp = t.fund_bars().groupBy("symbol").agg(F.max_by("adj_close", "date").alias("price"))
     return plan, pos, known, fp
 
