@@ -84,10 +84,14 @@ def wide_rank(df: DataFrame, by: list[str], x: str, tie: list[str], prefix: str
     return rows.withColumn(f"{prefix}rank", rank).select(*df.columns, f"{prefix}place", f"{prefix}rank", f"{prefix}size")
 
 
-def safe_corr(a, b) -> Column:
-    """Pearson correlation; NULL where either side is constant."""
-    c = F.corr(col(a), col(b))
-    flat = (F.min(col(a)) == F.max(col(a))) | (F.min(col(b)) == F.max(col(b)))
+def safe_corr(a, b, over=None) -> Column:
+    """Pearson correlation of the rows that have both values, of a group or of the window `over`; NULL where either side
+    is constant. Built from the covariance: `corr` divides by zero there, an error that a condition around it cannot stop."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    of = lambda agg: agg if over is None else agg.over(over)
+    c = F.try_divide(of(F.covar_pop(x, y)), of(F.stddev_pop(x)) * of(F.stddev_pop(y)))
+    flat = (of(F.min(x)) == of(F.max(x))) | (of(F.min(y)) == of(F.max(y)))
     return F.when(~flat & ~F.isnan(c), c)
 
 

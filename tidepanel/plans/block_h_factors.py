@@ -116,7 +116,7 @@ def h7(t):
     j = stock.join(F.broadcast(funds.where("symbol = 'MKT'").select("t", F.col("ret").alias("mkt"))), "t")
     w = span(40)
     n = F.count(F.when(F.col("mkt").isNotNull(), F.col("ret"))).over(w)
-    return j.select("symbol", "t", F.round(F.when(n == 40, F.corr("ret", "mkt").over(w)), 6).alias("rho"))
+    return j.select("symbol", "t", F.round(F.when(n == 40, safe_corr("ret", "mkt", w)), 6).alias("rho"))
 
 
 # ------------------------------------------------------------------ states, books, backtest
