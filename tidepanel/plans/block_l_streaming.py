@@ -76,7 +76,7 @@ SELECT e.symbol, e.t, e.event_id, round(e.s, 6) AS s, CAST(state AS INTEGER) AS
 def l3(t):
     """Hysteresis states per event type from the stream, in time order."""
     out = S.run_to_table(S.hysteresis_stream(scores(stream(t)), CFG, "60 seconds"), "signal", shared_folder(t.spark, "signal"))
-    return out.select("symbol", "t", "event_id", *rnd("s"), "state")
+    return S.slice_states(out).select("symbol", "t", "event_id", *rnd("s"), "state")
 
 
 @query("l3_batch_twin", L3)

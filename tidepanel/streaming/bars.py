@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.statescan import scan_states
+from ..functions.statescan import _AFTER, compose, scan_states
 from ..operators.factors import FactorConfig, _next
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -126,46 +127,66 @@ def idempotent_sink(path: str, key: str, buckets: int = 64):
 
 # ------------------------------------------------------------------ stateful signal
 
-SIGNAL_OUT = "symbol string, t long, event_id long, s double, state int"
-SIGNAL_STATE = "state int, last long, t array<long>, id array<long>, s array<double>"
+SIGNAL_OUT = "symbol string, slice long, place long, t long, event_id long, s double, code int"
+SIGNAL_STATE = "code int, n long, held binary"
+_ROW = np.dtype([("t", "<i8"), ("id", "<i8"), ("s", "<f8")])
+_SAME = 5       # the map that leaves every state as it is
 
 
-def hysteresis_stream(scores: DataFrame, cfg: FactorConfig, late: str = "0 seconds") -> DataFrame:
-    """States of (symbol, ts, event_id, s) scores arriving in any order within the watermark.
+def _codes(s: np.ndarray, cfg: FactorConfig) -> np.ndarray:
+    """Each score's map of the states before it to those after it (see `statescan`); an unknown score closes."""
+    opened = np.where(s < -cfg.s_open, 1, np.where(s > cfg.s_open, -1, 0))
+    short, long_ = np.where(s < cfg.s_close_short, 0, -1), np.where(s > -cfg.s_close_long, 0, 1)
+    return np.where(np.isnan(s), 13, 9 * (short + 1) + 3 * (opened + 1) + long_ + 1).astype(np.uint8)
 
-    Rows wait in the key's state until the watermark passes them, then fold in order of time and event id; what is buffered is bounded
-    by the watermark delay. The last rows of a finished stream are emitted when the watermark passes them."""
-    open_, long_out, short_out = cfg.s_open, cfg.s_close_long, cfg.s_close_short
 
-    def step(state: int, s: float) -> int:
-        if s is None or s != s:
-            return 0
-        if state == 0:
-            return 1 if s < -open_ else (-1 if s > open_ else 0)
-        if (state == 1 and s > -long_out) or (state == -1 and s < short_out):
-            return 0
-        return state
+def hysteresis_stream(scores: DataFrame, cfg: FactorConfig, late: str = "0 seconds", slice_seconds: int = 3600) -> DataFrame:
+    """Rows of (symbol, ts, event_id, s) scores arriving in any order within the watermark, each with the map `code` from the
+    state at the start of its slice of time to the state after it; `slice_states` gives the states.
+
+    Rows wait in the state of their key and slice until the watermark passes them, then their maps compose in order of time
+    and event id. A group holds the rows of one slice, never a key's history, so a hot key is spread over many tasks; a slice
+    that lies behind the watermark leaves the state. The last rows of a finished stream come when the watermark passes them."""
+    width = slice_seconds * 1000
 
     def fold(key, frames: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        state, last, ts, ids, ss = st.get if st.exists else (0, -1, [], [], [])
-        rows = list(zip(ts, ids, ss))
+        code, n, held = st.get if st.exists else (_SAME, 0, b"")
+        parts = [np.frombuffer(bytes(held), _ROW)]
         for f in frames:
-            rows += [(int(a), int(i), None if b != b else float(b)) for a, i, b in zip(f["us"], f["event_id"], f["s"])]
-        mark = st.getCurrentWatermarkMs() * 1000
-        due = sorted((r for r in rows if r[0] <= mark), key=lambda r: r[:2])
-        rest = sorted((r for r in rows if r[0] > mark), key=lambda r: r[:2])
-        out = []
-        for u, i, s in due:
-            state = step(state, s)
-            out.append((key[0], u, i, s, state))
-        st.update((state, due[-1][0] if due else last, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
-        if rest:
-            st.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "t", "event_id", "s", "state"])
-
-    s = scores.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return s.groupBy("symbol").applyInPandasWithState(fold, SIGNAL_OUT, SIGNAL_STATE, "append", "EventTimeTimeout")
+            new = np.empty(len(f), _ROW)
+            new["t"], new["id"], new["s"] = f["us"], f["event_id"], f["s"].astype("float64")
+            parts.append(new)
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["id"], rows["t"]))]
+        mark = st.getCurrentWatermarkMs()
+        due, rest = np.split(rows, [np.searchsorted(rows["t"], mark * 1000, "right")])
+        out = _AFTER[compose(_codes(due["s"], cfg)), code]
+        end = (int(key[1]) + 1) * width
+        if mark >= end and not len(rest):
+            st.remove()
+        else:
+            st.update((int(out[-1]) if len(out) else code, n + len(out), rest.tobytes()))
+            # a timeout fires once the watermark is beyond it: just before the next row is due, or the slice ends
+            st.setTimeoutTimestamp(max(-(-int(rest["t"][0]) // 1000) - 1 if len(rest) else end - 1, mark))
+        if len(out):
+            yield pd.DataFrame({"symbol": key[0], "slice": key[1], "place": np.arange(n, n + len(out)), "t": due["t"], "event_id": due["id"],
+                                "s": due["s"], "code": out.astype(np.int32)})
+
+    us = F.unix_micros("ts")
+    s = scores.withWatermark("ts", late).withColumn("us", us).withColumn("slice", F.floor(us / F.lit(width * 1000)).cast("long"))
+    return s.groupBy("symbol", "slice").applyInPandasWithState(fold, SIGNAL_OUT, SIGNAL_STATE, "append", "EventTimeTimeout")
+
+
+def slice_states(coded: DataFrame) -> DataFrame:
+    """(symbol, t, event_id, s, state) of what `hysteresis_stream` wrote: the maps of whole slices, one row each, give every
+    slice the state it starts from."""
+    place = lambda code, state: F.when(state == -1, F.floor(code / 9)).when(state == 0, F.floor(code / 3) % 3).otherwise(code % 3) - 1
+    slices = coded.groupBy("symbol", "slice").agg(F.max_by("code", "place").alias("code"))
+    ends = scan_states(slices, ("symbol",), ("slice",), lambda before: place(F.col("code"), before))
+    before = F.lag("state", 1, 0).over(Window.partitionBy("symbol").orderBy("slice"))       # one row per slice
+    starts = ends.select(F.col("symbol").alias("_symbol"), F.col("slice").alias("_slice"), before.alias("_start"))
+    got = coded.join(starts, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("slice") == F.col("_slice")))
+    return got.select("symbol", "t", "event_id", "s", place(F.col("code"), F.col("_start")).cast("int").alias("state"))
 
 
 def hysteresis_batch(scores: DataFrame, cfg: FactorConfig) -> DataFrame:
